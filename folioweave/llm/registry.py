@@ -13,6 +13,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination_digest
+
+    return contamination_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe
+
+    return bpe(_read(spark, sf_dir, "documents"), common.tokenizer_file("byte_bpe_50k.json"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -26,7 +38,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_token_counts, op10_language_id)}
+    return {f.__name__: f for f in (op3_decontamination, op4_bpe, op9_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
