@@ -25,6 +25,30 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(_read(spark, sf_dir, "documents"), common.tokenizer_file("byte_bpe_50k.json"))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(_read(spark, sf_dir, "pages"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_round_trip
+
+    return warc_round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest_neighbours
+
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -38,8 +62,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_bpe, op9_token_counts, op10_language_id)}
+    return {f.__name__: f for f in (op1_html_text, op3_decontamination, op4_bpe, op5_warc, op6_neighbours, op8_license_scan, op9_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import licenses
+
+    return {"op8_license_scan": licenses.oracle()}
