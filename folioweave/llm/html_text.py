@@ -20,7 +20,6 @@ host of its own; repeated rows each give a row; an empty table gives an empty re
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -110,7 +109,10 @@ def read_page(source: str) -> tuple[list[tuple[str, int, bool, bool]], list[tupl
         for depth in range(len(stack) - 1, 0, -1):
             tag = nodes[stack[depth]].tag
             if tag in tags:
-                pop_to(depth)
+                if tags == ("td", "th"):  # cells of a row are one block
+                    del stack[depth:]
+                else:
+                    pop_to(depth)
                 return
             if tag in SCOPE and tags != ("p",) or tag in ("table", "td", "th", "button"):
                 return
