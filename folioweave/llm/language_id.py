@@ -26,6 +26,8 @@ from . import common
 
 #: Labelled rows sampled for each language, characters of each, word types kept, rounds of fitting, pseudo-count, cache entries.
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TYPES, ROUNDS, PRIOR, CACHE = 600, 4000, 3000, 2, 0.1, 600_000
+#: Words in one forward pass.
+AT_ONCE = 20_000
 #: A word longer than this is scored in spans of this many characters, which bounds a forward pass.
 SPAN = 31
 #: Log-probability of a character that no piece holds; equal in all languages.
@@ -100,53 +102,66 @@ class Scorer:
     def words(self, words: list[str]) -> np.ndarray:
         """log P(word | language) for each word (of at most SPAN characters), every segmentation summed."""
         out = np.zeros((len(words), self.p.shape[1]))
-        lengths = np.array([len(w) for w in words])
-        floor = np.exp(UNKNOWN)
-        for n in np.unique(lengths):
-            rows = np.flatnonzero(lengths == n)
-            codes = np.frombuffer("".join("▁" + words[r] for r in rows).encode("utf-32-le"), np.uint32).reshape(len(rows), n + 1).T.astype(np.uint64)
-            forward = np.zeros((n + 2, len(rows), self.p.shape[1]))
-            forward[0] = 1.0
-            hashes: list[np.ndarray] = []  # of the strings that start at i and end before j
-            for j in range(1, n + 2):
-                hashes.append(np.zeros(len(rows), np.uint64))
-                forward[j] = forward[j - 1] * floor
-                for i in range(max(0, j - self.longest), j):
-                    hashes[i] = self.pieces.step(hashes[i], codes[j - 1])
-                    hit, piece = self.pieces.find(hashes[i])
-                    if len(hit):
-                        forward[j][hit] += forward[i][hit] * self.p[piece]
-            out[rows] = np.log(np.maximum(forward[n + 1], 1e-300))
+        order = np.argsort([-len(w) for w in words], kind="stable")
+        for at in range(0, len(words), AT_ONCE):
+            rows = order[at : at + AT_ONCE]
+            out[rows] = self.longest_first(["▁" + words[r] for r in rows])
         return out
 
-    def text(self, text: str) -> tuple[np.ndarray, int]:
-        """The summed log-probabilities, and how many words they cover."""
-        found = WORD.findall(text.lower())
-        if not found or not any(map(str.isalpha, text)):
-            return np.zeros(self.p.shape[1]), 0
-        counts: Counter = Counter()
-        for w, n in Counter(found).items():
-            if len(w) <= SPAN:
-                counts[w] += n
-            else:
-                for i in range(0, len(w), SPAN):
-                    counts[w[i : i + SPAN]] += n
-        new = list(counts.keys() - self.cache.keys())
+    def longest_first(self, words: list[str]) -> np.ndarray:
+        """The same for words in order of length, longest first: at each position the words that reach it are a prefix."""
+        n, floor = len(words[0]), np.exp(UNKNOWN)
+        lengths = np.array([len(w) for w in words])
+        codes = np.frombuffer("".join(w.ljust(n, "\x00") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n).T.astype(np.uint64)
+        reach = np.searchsorted(-lengths, -np.arange(n + 1), "right")
+        forward = np.zeros((n + 1, len(words), self.p.shape[1]))
+        forward[0] = 1.0
+        hashes = np.zeros((n, len(words)), np.uint64)  # of the strings that start at i and end before j
+        for j in range(1, n + 1):
+            m = reach[j]
+            here = forward[j, :m]
+            here += forward[j - 1, :m] * floor
+            for i in range(max(0, j - self.longest), j):
+                h = hashes[i, :m] = self.pieces.step(hashes[i, :m], codes[j - 1, :m])
+                hit, piece = self.pieces.find(h)
+                if len(hit):
+                    here[hit] += forward[i, hit] * self.p[piece]
+        return np.log(np.maximum(forward[lengths, np.arange(len(words))], 1e-300))
+
+    def learn(self, words: set[str]) -> None:
+        """Put words into the cache, which starts anew when it is full."""
+        new = [w for w in words if w not in self.cache]
         if len(new) + len(self.cache) > CACHE:
             self.cache.clear()
-            new = list(counts)
-        total = np.zeros(self.p.shape[1])
-        if len(new) > CACHE:  # more distinct words in one text than the cache holds
-            for i in range(0, len(new), 50_000):
-                part = new[i : i + 50_000]
-                total += np.array([counts[w] for w in part], float) @ self.words(part)
-            return total, len(found)
-        if new:
+            new = list(words)
+        if new and len(new) <= CACHE:
             at = len(self.cache)
             self.known[at : at + len(new)] = self.words(new)
             self.cache.update(zip(new, range(at, at + len(new)), strict=True))
-        index = np.fromiter(map(self.cache.__getitem__, counts), np.int64, len(counts))
-        return np.fromiter(counts.values(), float, len(counts)) @ self.known[index].astype(float), len(found)
+
+    def total(self, counts: Counter) -> np.ndarray:
+        """The summed log-probabilities of counted words."""
+        if all(w in self.cache for w in counts):
+            index = np.fromiter(map(self.cache.__getitem__, counts), np.int64, len(counts))
+            return np.fromiter(counts.values(), float, len(counts)) @ self.known[index].astype(float)
+        words, out = list(counts), np.zeros(self.p.shape[1])  # more distinct words than the cache holds
+        for i in range(0, len(words), AT_ONCE):
+            part = words[i : i + AT_ONCE]
+            out += np.array([counts[w] for w in part], float) @ self.words(part)
+        return out
+
+
+def word_counts(text: str | None) -> Counter:
+    """Words of a text and their counts, a long word in spans; none if the text has no letter."""
+    found = WORD.findall(text.lower()) if text else []
+    if not found or not any(map(str.isalpha, text)):
+        return Counter()
+    counts = Counter(found)
+    for w in [w for w in counts if len(w) > SPAN]:
+        n = counts.pop(w)
+        for i in range(0, len(w), SPAN):
+            counts[w[i : i + SPAN]] += n
+    return counts
 
 
 def fit(path: str, words: dict[str, Counter], rounds: int = ROUNDS, prior: float = PRIOR) -> tuple[list[str], dict[str, int], np.ndarray]:
@@ -234,18 +249,20 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, int], np.ndarray]
                     _worker.update(key=key, scorer=Scorer(pieces, table))
                 scorer = _worker["scorer"]
             best, scores, sizes = [], [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                total, n = scorer.text(text) if scorer and text else (None, 0)
-                sizes.append(n)
-                if not n:
-                    best.append("und")
-                    scores.append(0.0)
-                    continue
-                total = total / np.sqrt(n)
-                p = np.exp(total - total.max())
-                best.append(langs[int(np.argmax(total))])
-                scores.append(float(1.0 / p.sum()))
+            for a, b in common.slices(common.text_buffer(batch.column(1))[1]):
+                counted = [word_counts(t.as_py()) for t in batch.column(1).slice(a, b - a)]
+                if scorer:
+                    scorer.learn(set().union(*counted))
+                for counts in counted:
+                    n = sum(counts.values())
+                    sizes.append(n)
+                    if not n or not scorer:
+                        best.append("und")
+                        scores.append(0.0)
+                        continue
+                    total = scorer.total(counts) / np.sqrt(n)
+                    best.append(langs[int(np.argmax(total))])
+                    scores.append(float(1.0 / np.exp(total - total.max()).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], names=["doc_id", "lang_pred", "score", "n_words"])
 
     kind = docs.schema[0].dataType.simpleString()
