@@ -51,9 +51,9 @@ def drop_shared(spark: SparkSession, path: str) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df, from file sizes; no job runs."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return min(size, 1 << 50)
+    """Catalyst's estimate of the size of df, from file sizes; no job runs. 0 where it knows none (it then says 2**63)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 56 else 0
 
 
 def partitions_for(df: DataFrame, each: int = 8 << 20) -> int:

@@ -43,6 +43,12 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_read(spark, sf_dir, "embeddings"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_duplicates import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_scan
 
@@ -62,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op3_decontamination, op4_bpe, op5_warc, op6_neighbours, op8_license_scan, op9_token_counts, op10_language_id)}
+    return {f.__name__: f for f in (op1_html_text, op3_decontamination, op4_bpe, op5_warc, op6_neighbours, op7_near_duplicates, op8_license_scan, op9_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
