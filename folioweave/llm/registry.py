@@ -13,6 +13,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination_digest
 
@@ -68,7 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op3_decontamination, op4_bpe, op5_warc, op6_neighbours, op7_near_duplicates, op8_license_scan, op9_token_counts, op10_language_id)}
+    return {f.__name__: f for f in (op1_html_text, op2_suffix_dedup, op3_decontamination, op4_bpe, op5_warc, op6_neighbours, op7_near_duplicates, op8_license_scan, op9_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
