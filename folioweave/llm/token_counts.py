@@ -135,8 +135,8 @@ def frequent_lengths(docs: DataFrame, text: str, path: str, sample_docs: int = S
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row of docs, whole texts, no shuffle."""
     common.tune(docs.sparkSession)
-    docs = common.only(docs, id_col, text_col)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text_col, model_path))
+    docs = common.only(docs, id_col, text_col).toDF("doc_id", "text")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, "text", model_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
