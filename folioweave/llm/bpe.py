@@ -19,6 +19,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -76,9 +77,13 @@ class Vocabulary:
             if a == t or a in self.reached and b in self.reached and self._seam(a, b, self.rank[t]):
                 self.reached.add(t)
         self.candidates = {b: i for b, i in self.ids.items() if i in self.reached}
+        self.automaton = ahocorasick.Automaton()
+        for b, t in self.candidates.items():
+            self.automaton.add_word(b.decode("latin-1"), (len(b), t))
+        self.automaton.make_automaton()
         self.longest = max(map(len, self.ids))
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.seams: dict[tuple[int, int], bool] = {}
+        self.seams: dict[int, bool] = {}  # by both tokens in one number
 
     def sufficient_lookahead(self) -> int:
         """Bytes behind which no token changes: each merge rule can carry an influence over one token at most."""
@@ -87,12 +92,12 @@ class Vocabulary:
     def seam(self, a: int, b: int) -> bool:
         """Whether the merges leave the seam between tokens a and b: undo merges at the seam, latest first, and see
         whether an earlier merge would have joined what meets there."""
-        known = self.seams.get((a, b))
+        known = self.seams.get(a << 32 | b)
         if known is None:
             known = self._seam(a, b)
             if len(self.seams) > CACHE:
                 self.seams.clear()
-            self.seams[a, b] = known
+            self.seams[a << 32 | b] = known
         return known
 
     def _seam(self, a: int, b: int, limit: float = float("inf")) -> bool:
@@ -175,21 +180,28 @@ class Encoder:
 
 
 def encode_short(v: Vocabulary, word: bytes) -> list[int]:
-    """The transducer over one short pre-token, without the windows it doesn't need."""
-    n, ids, seam = len(word), v.candidates, v.seam
-    if (token := ids.get(word)) is not None:
+    """The transducer over one short pre-token, without the windows it doesn't need: an automaton over the vocabulary gives
+    the entries that end at each byte, longest first."""
+    if (token := v.candidates.get(word)) is not None:
         return [token]
-    last: list = [(0, None)]
-    for end in range(1, n + 1):
-        for start in range(max(0, end - v.longest), end):
-            token = ids.get(word[start:end])
-            if token is not None and (start == 0 or seam(last[start][1], token)):
-                last.append((start, token))
-                break
-    out, at = [], n
-    while at:
-        at, token = last[at]
-        out.append(token)
+    n, seams = len(word), v.seams
+    tokens, starts = [-1] * (n + 1), [0] * (n + 1)
+    for end, (size, token) in v.automaton.iter(word.decode("latin-1")):
+        end += 1
+        if tokens[end] < 0:
+            start = end - size
+            if start:
+                before = tokens[start]
+                known = seams.get(before << 32 | token)
+                if known is None:
+                    known = v.seam(before, token)
+                if not known:
+                    continue
+            tokens[end], starts[end] = token, start
+    out = []
+    while n:
+        out.append(tokens[n])
+        n = starts[n]
     return out[::-1]
 
 
