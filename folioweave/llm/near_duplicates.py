@@ -15,8 +15,8 @@ shingles as keys, on which any two such sets that link meet.
 
 Links. Equal part keys form groups. A group of at most ``ALL_PAIRS`` documents gives its pairs, a larger one the pairs with
 its smallest id. Verified pairs give components; groups that still touch several components then give the pairs across
-components whose sizes and bit sketches (popcount of the XOR of two ``bits`` wide parity sketches, a lower bound of the
-symmetric difference) allow a link, and those are verified too. Every link lies inside some group, so no link between
+components whose sizes and bit sketches (popcount of the XOR of two parity sketches, a lower bound of the symmetric
+difference) allow a link, and those are verified too. Every link lies inside some group, so no link between
 components is lost, and copies are never expanded into all pairs. Pairs are verified on whole texts: one side of a pair
 is held, the others stream past, split over tasks by salt.
 
@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from . import common
 
 N = 5
-#: Ratio of band limits, rows of the sample for hot shingles, the share that makes one hot, pairs a small group gives, rows one salt holds.
-BAND, SAMPLE, HOT_SHARE, ALL_PAIRS, SALT_ROWS = 4.0, 1500, 0.01, 3, 256
+#: Ratio of band limits, documents of the sample for hot shingles, sampled documents that make one hot, hot shingles kept,
+#: pairs a small group gives, rows one salt holds.
+BAND, SAMPLE, HOT, HOT_KEPT, ALL_PAIRS, SALT_ROWS = 2.0, 4000, 3, 200_000, 3, 256
 #: Keys held before they are handed to their buckets.
 HELD = 1_500_000
 #: Edges that one task may finish alone.
@@ -104,17 +105,14 @@ def part_keys(hashes: np.ndarray, size: int, band: int, hot: np.ndarray) -> np.n
     return keys[np.lexsort((keys, rank))[: full - s + 1]]
 
 
-def bit_sketch(hashes: np.ndarray) -> bytes:
-    """The parity sketch: bit h of ``bits`` is the parity of the shingles that hash to it; wide enough for the size's band."""
-    bits = sketch_bits(int(bands(len(hashes))))
+def bit_sketch(hashes: np.ndarray, times: int = 1) -> bytes:
+    """The parity sketch: bit h is the parity of the shingles that hash to it. It is ``times`` a power of two of bits that
+    is at least the set's size, and 64; the wider, the closer its distance comes to the sets'."""
+    bits = times << max(6, (len(hashes) - 1).bit_length())
     at = (common.mix(hashes) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def sketch_bits(band: int) -> int:
-    return 1 << max(6, int(np.ceil(np.log2(BAND ** (band + 1)))))
-
-
 def linked_sizes(a, b, both):
     return 100 * both >= 75 * (a + b - both)
 
@@ -124,12 +122,12 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (a 128-bit hash of the set), sketch of each row."""
+    """doc_id, n_shingles, h1, h2 (a 128-bit hash of the set), sketch and wide (eight times its bits) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.text_buffer(batch.column(1))
-            sizes, h1, h2, sketches = [], [], [], []
+            sizes, h1, h2, sketches, wides = [], [], [], [], []
             for a, b in common.slices(offsets):
                 hashes, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 x = np.r_[np.uint64(0), np.cumsum(common.mix(hashes), dtype=np.uint64)]
@@ -137,22 +135,32 @@ def digests(docs: DataFrame, n: int = N) -> DataFrame:
                 sizes.append(np.diff(at))
                 h1.append(x[at[1:]] - x[at[:-1]])
                 h2.append(y[at[1:]] - y[at[:-1]])
-                sketches += [bit_sketch(hashes[i:j]) if j > i else b"" for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    wide = bit_sketch(hashes[i:j], 8) if j > i else b""
+                    wides.append(wide)
+                    sketches.append(narrow(np.frombuffer(wide, np.uint8), len(wide) // 8).tobytes() if j > i else b"")
             join = lambda parts, kind: pa.array(np.concatenate(parts).view(kind) if parts else np.zeros(0, kind))
-            yield pa.RecordBatch.from_arrays([batch.column(0), join(sizes, np.int64), join(h1, np.int64), join(h2, np.int64), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), join(sizes, np.int64), join(h1, np.int64), join(h2, np.int64), pa.array(sketches, pa.binary()), pa.array(wides, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sketch", "wide"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, h1 bigint, h2 bigint, sketch binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, h1 bigint, h2 bigint, sketch binary, wide binary")
+
+
+def hot_shingles(docs: DataFrame, rows: int, n: int = N) -> np.ndarray:
+    """Shingles of at least HOT documents in a sample of about SAMPLE of ``rows``, at most HOT_KEPT; only an order follows."""
+    share = min(1.0, SAMPLE / max(1, rows))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = common.text_buffer(batch.column(1))
+            for a, b in common.slices(offsets):
+                values, counts = np.unique(shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["shingle", "n"])
 
-def hot_shingles(docs: DataFrame, n: int = N, rows: int = SAMPLE) -> np.ndarray:
-    """Shingles in more than HOT_SHARE of a bounded sample, at most rows * 1000 shingles being looked at; only an order follows."""
-    texts = [r[0] for r in docs.where(F.col("text").isNotNull()).select(F.substring("text", 1, 8000)).limit(rows).collect()]
-    if len(texts) < 50:
-        return np.zeros(0, np.uint64)
-    data, offsets = common.text_buffer(pa.array(texts, pa.string()))
-    values, counts = np.unique(shingle_sets(data, offsets, n)[0], return_counts=True)
-    return values[counts > max(3, HOT_SHARE * len(texts))]
+    counted = sample.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    found = counted.orderBy(F.desc("n"), "shingle").limit(HOT_KEPT).select("shingle").toArrow()
+    return np.sort(found.column(0).combine_chunks().to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -386,7 +394,7 @@ def cross_pairs(groups: DataFrame, labels: DataFrame, digest: DataFrame, partiti
     """Pairs inside a group that lie in different components and that sizes and sketches allow."""
     labelled = groups.join(labels.withColumnRenamed("doc_id", "b"), "b", "left").withColumn("c", F.coalesce("component_id", "b"))
     several = labelled.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("gid")
-    rows = labelled.join(several, "gid").join(digest.select(F.col("doc_id").alias("b"), "n_shingles", "sketch"), "b").select("gid", "b", "c", "n_shingles", "sketch")
+    rows = labelled.join(several, "gid").join(digest.select(F.col("doc_id").alias("b"), "n_shingles", "wide"), "b").select("gid", "b", "c", "n_shingles", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(group: list[tuple]) -> pa.RecordBatch:
@@ -427,9 +435,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stored = common.written(digests(docs, n), "digests")
     docs = docs.where(F.col("doc_id").isNotNull())
     classes = stored.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    single = stored.where("n_shingles > 0").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
-    groups = common.written(key_groups(key_blobs(docs, 8 * parts, hot_shingles(docs, n), n), parts), "groups")
-    texts = docs.dropDuplicates(["doc_id"]) if stored.groupBy("doc_id").count().where("count > 1").limit(1).count() else docs
+    repeated = stored.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
+    once = (lambda df: df.dropDuplicates(["doc_id"])) if repeated else (lambda df: df)
+    single = once(stored.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch", "wide"))
+    groups = common.written(key_groups(key_blobs(docs, 8 * parts, hot_shingles(docs, stored.count(), n), n), parts), "groups")
+    texts = once(docs)
     first = common.written(near_enough(groups.where("gid is null").select("a", "b").distinct(), single), "pairs")
     links = common.written(verify(first, texts, parts, n), "links")
     same = stored.where("n_shingles > 0").join(classes, ["h1", "h2", "n_shingles"]).where("doc_id != class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
@@ -441,5 +451,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(common.written(verify(more, texts, parts, n), "links"))
         labels = common.written(components(links.unionByName(same)), "labels")
     n_links = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
-    found = stored.drop("sketch").join(classes, ["h1", "h2", "n_shingles"], "left").join(labels, "doc_id", "left").join(n_links, "doc_id", "left")
+    found = stored.drop("sketch", "wide").join(classes, ["h1", "h2", "n_shingles"], "left").join(labels, "doc_id", "left").join(n_links, "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
