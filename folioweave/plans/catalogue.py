@@ -1,21 +1,676 @@
-"""The named queries and, beside each, the same query in plain SQL."""
+"""The named queries over the tables and, beside each, the same query in plain SQL.
+
+Tables stand in for the data model: a page is a row of ``pages`` or a document, a segment a line of it, a version an event,
+a source and its translation two turns of a conversation.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import dates, html, texts_udf
+from ..functions import text as T
+from ..operators import graph, memory, mining, quality, sequences, similarity, stats, versions
+from ..sources import files
+from ..streaming import events as stream
+from . import model
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        name = f.__name__.removeprefix("q_")
+        _QUERIES[name] = f
+        if sql:
+            _ORACLE[name] = sql
+        return f
 
-def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"page_plan": _titles}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def b(column: str, name: str | None = None):
+    return F.col(column).cast("bigint").alias(name or column)
+
+
+# ---- SQL fragments used by several oracles -------------------------------------------------------------------------
+
+WS = r"[ \t\n\r\f\x0B\x{00a0}\x{3000}]"
+HREFS = """(select page_id, list_filter(list_distinct_ordered, lambda h: h <> '') as hrefs from (
+  select page_id, list_transform(list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1), lambda h: not regexp_matches(h, '(?i)^([a-z][a-z0-9+.-]*:|#|//)')), lambda h: regexp_replace(h, '[#?].*$', '')) as list_distinct_ordered from pages))"""
+LINKS = f"(select distinct page_id, href from {HREFS}, unnest(hrefs) as u(href))"
+LEN = f"length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '(?s)<[^>]*>', '', 'g'), '{WS}+', '', 'g'))"
+TITLE = f"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '(?s)<[^>]*>', '', 'g'), '{WS}+', ' ', 'g'), ' ')"
+PATH = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
+HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1))"
+VOLUME = "coalesce(try_cast(regexp_extract(url, '/([0-9]+)', 1) as bigint), 0)"
+PAIRS = "(select u.conv_id * 1000 + u.turn as id, u.text as src, a.text as dst, u.conv_id as page from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant')"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id (document * 100000 + line), page, line, text."""
+    docs = read(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text")).select((F.col("page") * 100000 + F.col("line")).alias("id"), "page", F.col("line").cast("bigint").alias("line"), "text")
+
+
+SQL_LINES = "(select doc_id * 100000 + i - 1 as id, doc_id as page, i - 1 as line, l[i] as text from (select doc_id, string_split(text, chr(10)) as l from documents), unnest(range(1, len(l) + 1)) as r(i))"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, src, dst, page: a user's turn and the answer to it. One window a conversation, no self-join."""
+    turns = Window.partitionBy("conv_id").orderBy("turn")
+    nxt = lambda c: F.lead(c).over(turns)
+    found = read(spark, sf_dir, "conversations").withColumns({"n_turn": nxt("turn"), "n_role": nxt("role"), "n_text": nxt("text")})
+    found = found.where("role = 'user' and n_role = 'assistant' and n_turn = turn + 1")
+    return found.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("src"), F.col("n_text").alias("dst"), F.col("conv_id").alias("page"))
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("version"), F.col("event_type").alias("op"), "value")
+
+
+SQL_HISTORY = "(select user_id as key, event_id as version, event_type as op, value from events)"
+
+
+# ---- pages ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"select page_id, {TITLE} as title from pages")
+def q_page_titles(spark, d):
+    return read(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query(f"select page_id, {LEN} as text_len from pages")
+def q_page_text_len(spark, d):
+    return read(spark, d, "pages").select("page_id", T.text_length(F.col("html")).cast("bigint").alias("text_len"))
+
+
+@query("select page_id, length(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>', '', 'g'), '(?s)<[^>]*>', '', 'g'), '&nbsp;', ' ')) as n, md5(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>', '', 'g'), '(?s)<[^>]*>', '', 'g'), '&nbsp;', ' ')) as digest from pages")
+def q_page_detag(spark, d):
+    bare = T.detag(F.col("html"))
+    return read(spark, d, "pages").select("page_id", F.length(bare).cast("bigint").alias("n"), F.md5(bare).alias("digest"))
+
+
+@query(f"select page_id, href from {LINKS}")
+def q_page_links(spark, d):
+    return graph.edges(read(spark, d, "pages")).select("page_id", "href")
+
+
+@query("select page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"([^\"]*)\"', 1), lambda h: regexp_matches(h, '(?i)^https?://')))), '|') as links from pages")
+def q_page_links_external(spark, d):
+    return read(spark, d, "pages").select("page_id", F.array_join(html.external_links(F.col("html")), "|").alias("links"))
+
+
+@query(f"select page_id, {HOST} as host, regexp_extract({PATH}, '^/([^/]+)/', 1) as section, {VOLUME} as volume, case when regexp_matches({PATH}, '(?i)\\.html?$') then 'static' when regexp_matches({PATH}, '/$') then 'index' else 'other' end as kind from pages")
+def q_page_class(spark, d):
+    path = html.path(F.col("url"))
+    kind = F.when(path.rlike(r"(?i)\.html?$"), "static").when(path.rlike("/$"), "index").otherwise("other")
+    return read(spark, d, "pages").select("page_id", html.host(F.col("url")).alias("host"), F.regexp_extract(path, "^/([^/]+)/", 1).alias("section"), F.coalesce(F.regexp_extract("url", "/([0-9]+)", 1).try_cast("bigint"), F.lit(0)).alias("volume"), kind.alias("kind"))
+
+
+@query("select page_id, nullif(lower(regexp_extract(html, '(?i)<meta[^>]*charset=[\"'']?([A-Za-z0-9_-]+)', 1)), '') as charset from pages")
+def q_charset_declared(spark, d):
+    return read(spark, d, "pages").select("page_id", html.declared_charset(F.col("html")).alias("charset"))
+
+
+@query("select page_id, md5(case when page_id % 2 = 0 then html else regexp_replace(regexp_replace(html, '(?i)<meta[^>]*>', ''), '(?is)^(.*?<head[^>]*>)', '\\1<meta charset=\"utf-8\">') end) as digest from pages")
+def q_charset_fixup(spark, d):
+    source = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.regexp_replace("html", "(?i)^(.*?)<meta[^>]*>", "$1"))
+    return read(spark, d, "pages").select("page_id", F.md5(html.ensure_charset(source)).alias("digest"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as date, round(year(o_orderdate) + (month(o_orderdate) - 1) / 12.0 + (day(o_orderdate) - 1) / 365.0, 6) as year, cast(strftime(o_orderdate, '%Y%m%d') as bigint) as day from orders")
+def q_date_candidates(spark, d):
+    # The same day in three written forms, one a row.
+    day = F.col("o_orderdate")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "'on 'yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format(day, "yyyy/M/d' x'")).otherwise(F.date_format(day, "'d 'yy.M.d"))
+    return graph.date_numbers(read(spark, d, "orders").select("o_orderkey", text.alias("text"))).select("o_orderkey", "date", "year", "day")
+
+
+@query("select page_id, (select min(x) from (select nullif(regexp_extract(html, '<!--[^>]*?([12][0-9]{3}-[0-9]{2}-[0-9]{2})', 1), '') as x)) as date from pages where false")
+def q_comment_dates(spark, d):
+    return read(spark, d, "pages").select("page_id", dates.comment_date(F.col("html")).alias("date")).where("date is not null")
+
+
+@query(f"select href, count(*) as in_degree from {LINKS} group by href")
+def q_in_degree(spark, d):
+    return graph.in_degree(graph.edges(read(spark, d, "pages")))
+
+
+@query(f"select page_id, href, min(i) as pos from (select page_id, hrefs[i] as href, i from {HREFS}, unnest(range(1, len(hrefs) + 1)) as r(i)) group by 1, 2")
+def q_nav_position(spark, d):
+    found = F.filter(html.hrefs(F.col("html")), lambda h: ~h.rlike(r"(?i)^([a-z][a-z0-9+.-]*:|#|//)"))
+    bare = F.transform(found, lambda h: F.regexp_replace(h, r"[#?].*$", ""))
+    each = read(spark, d, "pages").select("page_id", F.posexplode(bare).alias("i", "href")).where("href != ''")
+    return each.groupBy("page_id", "href").agg((F.min("i") + 1).cast("bigint").alias("pos"))
+
+
+@query(f"""with recursive e as (select 'p' || page_id as src, href as dst from {LINKS} union all select href, 'p' || page_id from {LINKS}),
+w(node, depth) as (select 'p' || min(page_id), 0 from pages union select e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 4)
+select node, cast(min(depth) as bigint) as depth from w group by node""")
+def q_bfs_depth(spark, d):
+    links = graph.edges(read(spark, d, "pages")).select(F.concat(F.lit("p"), "page_id").alias("p"), "href")
+    both = links.select(F.col("p").alias("src"), F.col("href").alias("dst")).unionByName(links.select(F.col("href").alias("src"), F.col("p").alias("dst")))
+    root = read(spark, d, "pages").agg(F.concat(F.lit("p"), F.min("page_id")).alias("node"))
+    return graph.bfs_depth(both, root, 4).select("node", b("depth"))
+
+
+@query(f"""with l as (select distinct {HOST} as dir, page_id, href from pages join {LINKS} using (page_id)), n as (select dir, count(distinct href) as n from l group by dir),
+c as (select dir, page_id, count(distinct href) as linked from l group by all), s as (select dir, page_id, linked / greatest(1, n - 1) as coverage from c join n using (dir))
+select dir, page_id, round(coverage, 6) as coverage from (select *, row_number() over (partition by dir order by coverage desc, page_id) as k from s) where k = 1 and coverage >= 0.3""")
+def q_directory_index(spark, d):
+    pages = read(spark, d, "pages")
+    links = graph.edges(pages).join(pages.select("page_id", html.host(F.col("url")).alias("dir")), "page_id").select("dir", "page_id", "href")
+    return graph.directory_index(links, links.select("dir", "href").distinct(), 0.3).select("dir", "page_id", F.round("coverage", 6).alias("coverage"))
+
+
+_PLAN = f"""with l as (select * from {LINKS}), deg as (select href, count(*) as n from l group by href), heat as (select page_id, sum(n) as hot from l join deg using (href) group by page_id),
+f as (select page_id, {TITLE} as title, cast({LEN} as double) as len, cast(coalesce(hot, 0) as double) as hotness, cast({VOLUME} as double) as volume, cast(9999 - len(string_split({PATH}, '/')) as double) as semantic from pages left join heat using (page_id)),
+s as (select page_id, title, %s from f),
+t as (select page_id, title, round(0.0 + len * 0.4 + hotness * 0.3 + volume * 0.2 + semantic * 0.1, 6) as total from s)
+select page_id, title, total, row_number() over (order by total desc, page_id) as rank from t"""
+_SHARE = "case when max({0}) over () = min({0}) over () then 0.5 else {1}({0} - min({0}) over ()) / (max({0}) over () - min({0}) over ()) end as {0}"
+
+
+@query(_PLAN % ", ".join(_SHARE.format(c, "") for c in ("len", "hotness", "volume", "semantic")))
+def q_page_plan(spark, d):
+    return graph.ranked(graph.plan(read(spark, d, "pages")))
+
+
+@query(_PLAN % ", ".join(_SHARE.format(c, "1 - " if c in ("len", "volume") else "") for c in ("len", "hotness", "volume", "semantic")))
+def q_page_plan_reverse(spark, d):
+    return graph.ranked(graph.plan(read(spark, d, "pages"), reverse=frozenset(("len", "volume"))))
+
+
+@query(f"with p as ({_PLAN % ', '.join(_SHARE.format(c, '') for c in ('len', 'hotness', 'volume', 'semantic'))}) select page_id, coalesce(array_to_string(list(cast(page_id as varchar)) over (order by rank rows between 5 preceding and 1 preceding), '|'), '') as before from p")
+def q_plan_predecessors(spark, d):
+    return graph.predecessors(graph.ranked(graph.plan(read(spark, d, "pages"))))
+
+
+@query(f"with p as ({_PLAN % ', '.join(_SHARE.format(c, '') for c in ('len', 'hotness', 'volume', 'semantic'))}) select page_id, rank from p where page_id % 3 > 0 and rank between 10 and 40")
+def q_page_scope(spark, d):
+    done = read(spark, d, "pages").where("page_id % 3 > 0").select("page_id")
+    return graph.ranked(graph.plan(read(spark, d, "pages"))).where("rank between 10 and 40").join(done, "page_id", "left_semi").select("page_id", "rank")
+
+
+@query("select lang, source, count(*) as n from documents group by all")
+def q_section_counts(spark, d):
+    return read(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query(f"""with s as (select page_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style).*?</(script|style)>', '', 'g'), '(?is)</?(?:p|div|h[1-6]|li|ul|ol|nav|article|footer|table|tr|td|body|head|title|html|section)(?:\\s[^>]*)?>|<![^>]*>|<meta[^>]*>'), lambda p: trim(regexp_replace(p, '{WS}+', ' ', 'g'), ' ')), lambda p: length(regexp_replace(p, '(?s)<[^>]*>', '', 'g')) > 0)) as segment from pages)
+select page_id, segment, count(*) as n from s group by all""")
+def q_html_segments(spark, d):
+    return read(spark, d, "pages").select("page_id", F.explode(html.block_segments(F.col("html"))).alias("segment")).groupBy("page_id", "segment").agg(F.count("*").alias("n"))
+
+
+# ---- terms ---------------------------------------------------------------------------------------------------------
+
+_RUNS = "(select src, count(*) as count, count(distinct doc_id) as pages from (select doc_id, unnest(regexp_extract_all(text, '[A-Z][A-Za-z0-9]*(?: [A-Z][A-Za-z0-9]*)*')) as src from documents) where length(src) >= 2 group by src)"
+_REPEATS = f"(select src, count(*) as count, count(distinct doc_id) as pages from (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '{WS}+', '', 'g') as src from documents) where length(src) between 2 and 60 and regexp_matches(src, '[A-Za-z]') group by src)"
+_MERGED = f"(select arg_max(src, (contains(src, ' '), count, pages, src)) as src, max(count) as count, max(pages) as pages from (select src, max(count) as count, max(pages) as pages from (select * from {_RUNS} union all select * from {_REPEATS}) where length(src) <= 60 group by src) group by lower(regexp_replace(src, '{WS}+', '', 'g')))"
+
+
+@query(f"select src, count, pages from {_RUNS} where count >= 7 and pages >= 2")
+def q_terms_runs(spark, d):
+    return mining.band(mining.runs(read(spark, d, "documents")), 7)
+
+
+@query(f"select src, count, pages from {_REPEATS} where count >= 2")
+def q_terms_repeat_lines(spark, d):
+    return mining.repeat_lines(read(spark, d, "documents")).where("count >= 2")
+
+
+@query(f"select * from {_MERGED} where count >= 7 and pages >= 2")
+def q_terms_merge(spark, d):
+    docs = read(spark, d, "documents")
+    return mining.band(mining.merge_terms(mining.runs(docs), mining.repeat_lines(docs)), 7)
+
+
+@query(f"select src, count, pages from {_RUNS} where count >= 3 and count < 7 and pages >= 2")
+def q_terms_band(spark, d):
+    return mining.band(mining.runs(read(spark, d, "documents")), 3, 7)
+
+
+@query(f"with t as (select src, count, pages from {_RUNS} where count >= 5 and pages >= 2) select * from t where not exists (select 1 from t o where o.src <> t.src and contains(' ' || o.src || ' ', ' ' || t.src || ' '))")
+def q_terms_maximal(spark, d):
+    return mining.maximal(mining.band(mining.runs(read(spark, d, "documents")), 5))
+
+
+@query("""with r as (select unnest(regexp_extract_all(text, '[a-z]+')) as run from documents), u as (select run, count(*) as times from r where length(run) > 1 group by run),
+p as (select run[i] as a, run[i + 1] as b, times from u, unnest(range(1, length(run))) as x(i)), c as (select a, b, cast(sum(times) as bigint) as count from p group by all)
+select a, b, count, round(log2(count::double * (select sum(count) from c) / ((select sum(count) from c x where x.a = c.a)::double * (select sum(count) from c x where x.b = c.b))), 6) as pmi from c where count >= 4""")
+def q_terms_pmi(spark, d):
+    return mining.pmi(read(spark, d, "documents"))
+
+
+@query("""with u as (select run, count(*) as times from (select unnest(regexp_extract_all(text, '[a-z]+')) as run from documents) group by run),
+g as (select run[i : i + n - 1] as src, case when i > 1 then run[i - 1] else '^' end as l, case when i + n <= length(run) then run[i + n] else '^' end as r, times from u, (values (2), (3)) as s(n), unnest(range(1, length(run) - n + 2)) as x(i) where length(run) >= n),
+l as (select src, sum(n) as count, log2(sum(n)) - sum(n * log2(n)) / sum(n) as h from (select src, l, sum(times)::double as n from g group by all) group by src),
+r as (select src, log2(sum(n)) - sum(n * log2(n)) / sum(n) as h from (select src, r, sum(times)::double as n from g group by all) group by src)
+select src, cast(count as bigint) as count, round(least(l.h, r.h), 6) as entropy from l join r using (src) where count >= 5""")
+def q_terms_entropy(spark, d):
+    return mining.boundary_entropy(read(spark, d, "documents"))
+
+
+@query("""with w as (select doc_id, i, l[i] as word, l from (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as l from documents), unnest(range(1, len(l) + 1)) as r(i)),
+g as (select src, n, count(*) as count from (select array_to_string(l[i : i + n - 1], ' ') as src, n from w, (values (1), (2), (3)) as s(n) where i + n - 1 <= len(l)) group by all having count(*) >= 3),
+c as (select distinct o.src as holder, o.count as f, array_to_string(t[i : i + n - 1], ' ') as src from (select src, count, n as big, string_split(src, ' ') as t from g where n > 1) o, (values (1), (2)) as s(n), unnest(range(1, big - n + 2)) as r(i) where n < big),
+m as (select src, avg(f) as mean from c group by src)
+select src, count, round(log2(n + 1) * (count - coalesce(mean, 0)), 6) as value from g left join m using (src)""")
+def q_terms_cvalue(spark, d):
+    return mining.c_value(read(spark, d, "documents"))
+
+
+@query()
+def q_terms_bpe(spark, d):
+    return mining.byte_pairs(read(spark, d, "documents"))
+
+
+@query(f"""with t as (select src from {_RUNS} where count >= 40 and pages >= 2)
+select src, doc_id, context from (select src, doc_id, translate(substring(text, greatest(1, instr(text, src) - 20), length(src) + least(20, instr(text, src) - 1) + 20), chr(10), ' ') as context, row_number() over (partition by src order by doc_id) as n from t, documents where contains(text, src) and list_contains(regexp_extract_all(text, '[A-Za-z0-9]+'), string_split(src, ' ')[1])) where n <= 3""")
+def q_term_contexts(spark, d):
+    docs = read(spark, d, "documents")
+    return mining.contexts(docs, mining.band(mining.runs(docs), 40))
+
+
+# ---- similarity ----------------------------------------------------------------------------------------------------
+
+
+def _items(spark, d):
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+
+
+_GRAM = "list_distinct(case when length(x) >= 2 then list_transform(range(1, length(x)), lambda i: x[i : i + 1]) when length(x) > 0 then [x] else [] end)"
+_BARE = "regexp_replace(lower(text), '[\\s[:punct:]\\x{3000}]+', '', 'g')"
+
+
+@query(f"""with a as (select item_id as id, {_GRAM} as g from (select item_id, {_BARE} as x from benchmark)), t as (select id, {_GRAM} as g from (select id, {_BARE} as x from {SQL_LINES}))
+select a.id as l_id, t.id as r_id, round(2.0 * len(list_intersect(a.g, t.g)) / (len(a.g) + len(t.g)), 3) as score from a, t where len(a.g) > 0 and len(t.g) > 0 and 2.0 * len(list_intersect(a.g, t.g)) / (len(a.g) + len(t.g)) >= 0.8""")
+def q_dice_pairs(spark, d):
+    return similarity.dice_pairs(_items(spark, d), lines(spark, d).select("id", "text"), 0.8)
+
+
+@query(f"""with a as (select item_id as id, {_GRAM} as g from (select item_id, {_BARE} as x from benchmark)), t as (select id, {_GRAM} as g from (select id, {_BARE} as x from {SQL_LINES})),
+s as (select a.id as l_id, t.id as r_id, round(2.0 * len(list_intersect(a.g, t.g)) / (len(a.g) + len(t.g)), 3) as score from a, t where len(a.g) > 0 and len(t.g) > 0 and 2.0 * len(list_intersect(a.g, t.g)) / (len(a.g) + len(t.g)) >= 0.9)
+select * from (select l_id, r_id, score, row_number() over (partition by l_id order by score desc, r_id) as rank from s) where rank <= 5""")
+def q_memory_lookup(spark, d):
+    return similarity.top_k(similarity.dice_pairs(_items(spark, d), lines(spark, d).select("id", "text"), 0.9), 5, "l_id", "score", "r_id")
+
+
+@query("with t as (select item_id, left(regexp_replace(text, '[^ -~]', '', 'g'), 60) as x from benchmark) select a.item_id as a, b.item_id as b, round(1.0 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x))::double, 6) as score from t a join t b on a.item_id < b.item_id and left(a.x, 2) = left(b.x, 2)")
+def q_edit_similarity(spark, d):
+    a = _items(spark, d).select(F.col("id").alias("a"), F.left(F.regexp_replace("text", "[^ -~]", ""), F.lit(60)).alias("x"), F.left(F.regexp_replace("text", "[^ -~]", ""), F.lit(2)).alias("k"))
+    c = a.select(F.col("a").alias("b"), F.col("x").alias("y"), "k")
+    return a.join(c, "k").where("a < b").select("a", "b", F.round(T.edit_similarity(F.col("x"), F.col("y")), 6).alias("score"))
+
+
+@query("select i.item_id, d.doc_id from benchmark i, documents d where instr(lower(d.text), lower(i.text)) > 0")
+def q_locate_exact(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = similarity.containment(read(spark, d, "benchmark").select("item_id", F.col("text").alias("src")), docs)
+    return found.select("item_id", F.col("id").alias("doc_id")).distinct()
+
+
+@query()
+def q_locate_tiered(spark, d):
+    return similarity.locate(_items(spark, d), lines(spark, d).select("id", "text"))
+
+
+@query(f"""with g as (select src from {_RUNS} where count >= 30 and pages >= 2), h as (select d.doc_id as id, g.src, (length(d.text) - length(replace(lower(d.text), lower(g.src), ''))) // length(g.src) * length(g.src) as score from g, documents d
+where instr(lower(d.text), lower(g.src)) > 0 and list_contains(regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}]+'), regexp_extract(lower(g.src), '[\\p{{L}}\\p{{N}}]+')))
+select id, src, cast(score as bigint) as score, rank from (select *, row_number() over (partition by id order by score desc, src) as rank from h) where rank <= 30""")
+def q_glossary_relevance(spark, d):
+    docs = read(spark, d, "documents")
+    terms = mining.band(mining.runs(docs), 30)
+    return similarity.relevance(terms, docs.select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(f"""with t as (select id, trim(regexp_replace(src, '{WS}+', ' ', 'g'), ' ') as norm from {PAIRS}), g as (select norm as src, 'g' || min(id) as dst from t where id % 3 = 0 group by norm), p as (select norm as key, 'p' || min(id) as dst from t where length(norm) <= 60 group by norm)
+select t.id, coalesce(g.dst, p.dst) as answer, case when g.dst is not null then 'glossary' when p.dst is not null then 'phrase' else 'model' end as origin from t left join g on g.src = t.norm left join p on p.key = t.norm""")
+def q_dictionary_cascade(spark, d):
+    texts = pairs(spark, d).select("id", F.col("src").alias("text"))
+    norm = texts.select("id", T.normalize_ws(F.col("text")).alias("norm"))
+    glossary = norm.where("id % 3 = 0").groupBy("norm").agg(F.min("id").alias("seq")).select(F.col("norm").alias("src"), F.concat(F.lit("g"), "seq").alias("dst"), "seq", F.lit(True).alias("read_only"))
+    phrases = norm.where("length(norm) <= 60").groupBy("norm").agg(F.min("id").alias("m")).select(F.col("norm").alias("key"), F.concat(F.lit("p"), "m").alias("dst"))
+    return similarity.cascade(texts, glossary, phrases, 60)
+
+
+# ---- memories and queues -------------------------------------------------------------------------------------------
+
+
+def _keyed_lines(spark, d):
+    return lines(spark, d).select(F.col("id").alias("seq"), F.col("text").alias("src"), F.concat(F.lit("»"), "text").alias("dst"), "page")
+
+
+@query(f"""with c as (select id as seq, trim(regexp_replace(text, '{WS}+', ' ', 'g'), ' ') as key, text as src, '»' || text as dst, page from {SQL_LINES}), n as (select key, arg_max(dst, seq) as dst, arg_max(page, seq) as page, count(*) as usage from c where page % 5 <> 0 group by key),
+o as (select key, arg_max(dst, seq) as dst, arg_max(page, seq) as page, count(*) as usage from c where page % 5 = 0 group by key)
+select md5(key) as key, md5(coalesce(n.dst, o.dst)) as dst, coalesce(n.page, o.page) as page, coalesce(o.usage, 0) + coalesce(n.usage, 0) as usage from o full join n using (key)""")
+def q_memory_upsert(spark, d):
+    every = _keyed_lines(spark, d)
+    old = memory.upsert(spark.createDataFrame([], "key string, dst string, page bigint, usage bigint"), every.where("page % 5 = 0"))
+    return memory.upsert(old, every.where("page % 5 != 0")).select(F.md5("key").alias("key"), F.md5("dst").alias("dst"), "page", "usage")
+
+
+@query(f"with q as (select 'qa_' || left(md5(text), 12) as id, id as seq, page from {SQL_LINES}), o as (select id, min(seq) as seq from q where page % 4 = 0 group by id), n as (select id, min(seq) as seq from q where page % 4 <> 0 and id not in (select id from o) group by id) select id, seq, 'open' as status from o union all select id, seq, 'new' from n")
+def q_queue_append(spark, d):
+    every = lines(spark, d).select(T.hash_id(F.col("text")).alias("id"), F.col("id").alias("seq"), "page")
+    old = every.where("page % 4 = 0").groupBy("id").agg(F.min("seq").alias("seq")).withColumn("status", F.lit("open"))
+    return memory.append_new(old, every.where("page % 4 != 0").select("id", "seq", F.lit("new").alias("status")))
+
+
+@query(f"""with l as (select id as seq, lower(trim(text, ' ')) as src, text as dst, page from {SQL_LINES} where length(text) between 1 and 60), g as (select src, arg_max(dst, seq) as dst from l where page % 2 = 0 group by src), n as (select src, arg_max(dst, seq) as dst from l where page % 2 = 1 and src <> '' group by src)
+select src, coalesce(g.dst, n.dst) as dst, case when n.dst is null then 'kept' when g.dst is null then 'added' when g.dst = n.dst then 'updated' else 'conflict' end as action from g full join n using (src)""")
+def q_glossary_merge(spark, d):
+    every = lines(spark, d).where("length(text) between 1 and 60").select(F.lower(F.trim("text")).alias("src"), F.col("text").alias("dst"), F.col("id").alias("seq"), "page")
+    return memory.merge_glossary(every.where("page % 2 = 0").groupBy("src").agg(F.max_by("dst", "seq").alias("dst")), every.where("page % 2 = 1"))
+
+
+@query(f"select id from {PAIRS} where not (contains(src, 'the') and not contains(dst, 'that'))")
+def q_purge_term(spark, d):
+    return memory.purge_term(pairs(spark, d), "the", "that").select("id")
+
+
+@query(f"select id from {PAIRS} where not contains(dst, 'thing') and not contains(dst, 'mente')")
+def q_purge_keywords(spark, d):
+    return memory.purge_keywords(pairs(spark, d), ["thing", "mente"]).select("id")
+
+
+@query(f"select id, page from {PAIRS} where page % 7 <> 0")
+def q_purge_segments(spark, d):
+    every = pairs(spark, d).select("id", F.col("page").cast("string").alias("page"))
+    gone = every.where("cast(page as bigint) % 7 = 0").select("id", "page")
+    return memory.purge_keys(every, gone, ["id", "page"]).select("id", F.col("page").cast("bigint").alias("page"))
+
+
+@query(f"""with t as (select src, row_number() over (order by src) as seq from {_RUNS} where count >= 4) select arg_max(src, (contains(src, ' '), -seq)) as src, arg_max(case when seq % 2 = 0 then upper(src) end, (case when seq % 2 = 0 then 1 else 0 end, contains(src, ' '), -seq)) as dst from t group by lower(regexp_replace(src, '{WS}+', '', 'g'))""")
+def q_reviewed_dedup(spark, d):
+    terms = mining.runs(read(spark, d, "documents")).where("count >= 4").withColumn("seq", F.row_number().over(Window.orderBy("src")))
+    return memory.dedup_reviewed(terms.select("src", "seq", F.when(F.col("seq") % 2 == 0, F.upper("src")).alias("dst"), F.lit("x").alias("category"))).select("src", "dst")
+
+
+# ---- quality -------------------------------------------------------------------------------------------------------
+
+
+@query(f"select id, (length(src) - length(replace(src, 'the', ''))) // 3 as src_n, (length(dst) - length(replace(dst, 'the', ''))) // 3 as dst_n from {PAIRS} where (length(src) - length(replace(src, 'the', ''))) // 3 <> (length(dst) - length(replace(dst, 'the', ''))) // 3")
+def q_placeholder_rule(spark, d):
+    return quality.placeholder_rule(pairs(spark, d), "the")
+
+
+@query(f"""with s as (select id, token, count(*) as n from (select id, unnest(regexp_extract_all(src, '[A-Z][a-z]')) as token from {PAIRS}) group by all), t as (select id, token, count(*) as n from (select id, unnest(regexp_extract_all(dst, '[A-Z][a-z]')) as token from {PAIRS}) group by all),
+b as (select id, token, coalesce(s.n, 0) as a, coalesce(t.n, 0) as b from s full join t using (id, token))
+select id, coalesce(string_agg(token, '|' order by token) filter (b = 0), '') as missing, coalesce(string_agg(token, '|' order by token) filter (a = 0), '') as extra, coalesce(string_agg(token, '|' order by token) filter (a > 0 and b > a), '') as repeated from b where a <> b group by id""")
+def q_placeholder_multiset(spark, d):
+    return quality.token_differences(pairs(spark, d), "[A-Z][a-z]")
+
+
+@query("""with g as (select src from (select unnest(regexp_extract_all(text, '[A-Z][a-z]+')) as src from benchmark) group by src having length(src) >= 5), p as (select * from """ + PAIRS + """)
+select distinct p.id, g.src, upper(g.src) as dst from p, g where contains(p.src, g.src) and not contains(p.dst, upper(g.src)) and list_contains(regexp_extract_all(lower(p.src), '[\\p{L}\\p{N}]+'), lower(g.src))""")
+def q_term_rule(spark, d):
+    terms = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), F.lit(1))).alias("src")).distinct().where("length(src) >= 5").withColumn("dst", F.upper("src"))
+    return quality.term_rule(pairs(spark, d), terms)
+
+
+def _issues(spark, d):
+    return read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id").select(F.col("source").alias("page"), "lang", F.when(F.col("toxic") == 1, "high").when(F.col("quality") == 0, "mid").otherwise("low").alias("severity"), F.when(F.col("doc_id") % 3 > 0, F.col("quality") == 1).alias("resolved"))
+
+
+_ISSUES = "(select source as page, lang, case when toxic = 1 then 'high' when quality = 0 then 'mid' else 'low' end as severity, case when doc_id % 3 > 0 then quality = 1 end as resolved from labels join documents using (doc_id))"
+
+
+@query(f"select page, count(*) as total, count(*) filter (severity = 'high') as high, count(*) filter (severity = 'mid') as mid, count(*) filter (severity = 'low') as low, count(*) filter (not coalesce(resolved, true)) as unresolved from {_ISSUES} group by page")
+def q_severity_counts(spark, d):
+    return quality.severity_counts(_issues(spark, d))
+
+
+@query(f"select page, lang, count(*) as total, count(*) filter (severity = 'high') as high from {_ISSUES} group by rollup(page, lang)")
+def q_report_rollup(spark, d):
+    return quality.report_rollup(_issues(spark, d), ["page", "lang"])
+
+
+@query(f"select id, case when regexp_matches(src, 'thing') then 'A' when regexp_matches(src, '[áéíóú]') then 'B' when regexp_matches(src, '[0-9]') then 'C' else '?' end as category from {PAIRS}")
+def q_categories(spark, d):
+    return pairs(spark, d).select("id", quality.categories(F.col("src"), [("A", "thing"), ("B", "[áéíóú]"), ("C", "[0-9]")]).alias("category"))
+
+
+@query("select user_id as page, cast(segment as bigint) as segment, string_agg(event_type, '|' order by event_id) as opinions from (select *, unnest([event_id % 3, event_id % 5 + 10]) as segment from events) where event_type in ('click', 'view') group by all")
+def q_adopted_groups(spark, d):
+    items = read(spark, d, "events").select(F.col("user_id").alias("page"), F.array(F.col("event_id") % 3, F.col("event_id") % 5 + 10).alias("segments"), F.col("event_id").alias("id"), F.col("event_type").alias("suggestion"), F.when(F.col("event_type").isin("click", "view"), "adopted").otherwise("open").alias("status"))
+    return quality.adopted_groups(items)
+
+
+@query("""with s as (select event_type as grp, user_id % 4 as run, event_id % 50 as item from events), z as (select grp, run, count(distinct item) as n from s group by all), p as (select a.grp, a.run as a, b.run as b, a.n + b.n as t from z a join z b on a.grp = b.grp and a.run < b.run),
+c as (select x.grp, x.run as a, y.run as b, count(*) as c from (select distinct * from s) x join (select distinct * from s) y on x.grp = y.grp and x.item = y.item and x.run < y.run group by all)
+select g.grp, round(coalesce(avg(coalesce(c.c, 0) / (t - coalesce(c.c, 0))), 1.0), 6) as stability from (select distinct grp from s) g left join p on p.grp = g.grp left join c on c.grp = p.grp and c.a = p.a and c.b = p.b group by g.grp""")
+def q_run_stability(spark, d):
+    return quality.jaccard_stability(read(spark, d, "events").select(F.col("event_type").alias("grp"), (F.col("user_id") % 4).alias("run"), (F.col("event_id") % 50).alias("item")))
+
+
+@query("select user_id as key, arg_max(event_type, event_id) as op, max(event_id) as version from events group by user_id")
+def q_latest_status(spark, d):
+    return quality.latest(history(spark, d), "key", ["version"]).select("key", "op", "version")
+
+
+# ---- versions ------------------------------------------------------------------------------------------------------
+
+
+@query(f"with l as (select key, arg_max(value, version) as now from {SQL_HISTORY} group by key) select key, max(version) as version from {SQL_HISTORY} join l using (key) where value is distinct from now group by key")
+def q_previous_version(spark, d):
+    return versions.previous_different(history(spark, d))
+
+
+@query(f"select key, max(version) as version from {SQL_HISTORY} where op <> 'click' and key in (select key from {SQL_HISTORY} where op = 'click') group by key")
+def q_before_operation(spark, d):
+    return versions.before_operation(history(spark, d), "click")
+
+
+@query(f"select key, version from (select *, row_number() over (partition by key order by version desc) as n from {SQL_HISTORY}) where n <= 3")
+def q_keep_last(spark, d):
+    return versions.keep_last(history(spark, d), 3).select("key", "version")
+
+
+@query(f"select op, min(version) as first, max(version) as last, count(distinct key) as keys, count(*) as versions from {SQL_HISTORY} group by op")
+def q_operations(spark, d):
+    return versions.operations(history(spark, d))
+
+
+@query(f"""with n as (select key, arg_max(value, version) as from_value from {SQL_HISTORY} group by key), t as (select key, arg_max(value, version) as to_value from {SQL_HISTORY} where version <= 300 group by key)
+select n.key, from_value, to_value, case when t.key is null then 'remove' when from_value is not distinct from to_value then 'same' else 'change' end as action from n left join t using (key)""")
+def q_restore_plan(spark, d):
+    return versions.restore_plan(history(spark, d), 300)
+
+
+@query("with a as (select user_id as key, max(event_id) % 3 as owner from events where event_type <> 'error' group by user_id), b as (select user_id as key, max(event_id) % 3 as owner from events where event_type <> 'click' and event_id < 400 group by user_id) select key, case when b.owner is null then 'remove' when a.owner is null then 'add' when a.owner = b.owner then 'keep' else 'collision' end as action from a full join b using (key)")
+def q_reconcile(spark, d):
+    rows = lambda cond: read(spark, d, "events").where(cond).groupBy(F.col("user_id").alias("key")).agg((F.max("event_id") % 3).alias("owner"))
+    return versions.reconcile(rows("event_type != 'error'"), rows("event_type != 'click' and event_id < 400"))
+
+
+@query("select user_id as page, count(*) filter (value > 40) as open, case when bool_or(event_id % 50 = 0) then 'pending' when count(*) filter (value > 40) > 0 then 'review' else 'done' end as status from events group by user_id")
+def q_page_status(spark, d):
+    return versions.page_status(read(spark, d, "events").select(F.col("user_id").alias("page"), (F.col("value") > 40).alias("needs_human"), F.when(F.col("event_id") % 50 != 0, "x").alias("translation")))
+
+
+@query("select d.doc_id as page, cast(case when d.doc_id % 2 = 0 then d.doc_id // 2 else 2147483647 end as bigint) as rank from documents d where d.doc_id not in (select doc_id from labels)")
+def q_unfinished(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("page"))
+    return versions.unfinished(docs, read(spark, d, "labels").select(F.col("doc_id").alias("page")), docs.where("page % 2 = 0").select("page", F.floor(F.col("page") / 2).alias("rank")))
+
+
+@query("with s as (select user_id as key, arg_max(case when event_type <> 'error' then event_type end, event_id) as x, bool_or(true) as k from events where user_id % 2 = 0 group by user_id), l as (select user_id as key, max(event_id)::varchar as c from events group by user_id) select key, case when k then arg else c end as translation from (select l.key, s.k, (select case when event_type <> 'error' then event_type end from events e where e.user_id = l.key order by event_id desc limit 1) as arg, c from l left join s using (key))")
+def q_current_translation(spark, d):
+    ev = read(spark, d, "events")
+    last = F.max_by(F.struct(F.when(F.col("event_type") != "error", F.col("event_type")).alias("t")), "event_id")
+    state = ev.where("user_id % 2 = 0").groupBy(F.col("user_id").alias("key")).agg(last.alias("r")).select("key", F.col("r.t").alias("translation"))
+    cache = ev.groupBy(F.col("user_id").alias("key")).agg(F.max("event_id").cast("string").alias("translation"))
+    return versions.current(state, cache)
+
+
+# ---- sequences -----------------------------------------------------------------------------------------------------
+
+
+@query("""with p as (select *, cast(value as bigint) % 7 as mc from events), q as (select *, last_value(case when mc > 0 then mc end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as before from p)
+select event_id, cast(sum(case when mc > 0 and (before is null or mc <= before) then 1 else 0 end) over (partition by user_id order by event_id) as bigint) as session from q""")
+def q_sessions(spark, d):
+    rows = read(spark, d, "events").withColumn("mc", F.expr("cast(round(value, 0) as bigint) % 7"))
+    return sequences.sessions(rows, "user_id", "event_id", "mc").select("event_id", b("session"))
+
+
+@query("select e.event_id, (select max(x.event_id) from events x where x.user_id = e.user_id and x.event_type = 'view' and x.event_id < e.event_id) as before_event_id from events e")
+def q_as_of_predecessor(spark, d):
+    return sequences.as_of(read(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "view", ["event_id"]).select("event_id", "before_event_id")
+
+
+@query("select event_id, total from (select event_id, round(sum(value) over w, 4) as total, sum(value) over w as t, row_number() over w as n from events window w as (partition by user_id order by event_id)) where t <= 300 or n = 1")
+def q_within_budget(spark, d):
+    return sequences.within_budget(read(spark, d, "events"), "user_id", "event_id", "value", 300).select("event_id", F.round("total", 4).alias("total"))
+
+
+@query("select event_id, (row_number() over (partition by user_id order by event_id) - 1) // 5 as bucket from events")
+def q_history_buckets(spark, d):
+    return sequences.buckets(read(spark, d, "events"), "user_id", "event_id", 5).select("event_id", b("bucket"))
+
+
+@query("with r as (select doc_id, row_number() over (order by n_chars desc, doc_id) as place, count(*) over () as n from documents) select doc_id, place from r where place in (select distinct cast(round_even(k * (n - 1) / 9.0, 0) as bigint) + 1 from range(10) as t(k))")
+def q_quantile_picks(spark, d):
+    return sequences.quantile_picks(read(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 10).select("doc_id", b("place"))
+
+
+@query("select conv_id, turn, right(coalesce(string_agg(text, chr(10)) over (partition by conv_id order by turn rows between 8 preceding and 1 preceding), ''), 200) as before from conversations")
+def q_adjacent_context(spark, d):
+    return sequences.adjacent(read(spark, d, "conversations"), "conv_id", "turn", "text", 200).select("conv_id", "turn", "before")
+
+
+@query()
+def q_chunks(spark, d):
+    return sequences.chunks(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", b("chunk"), F.length("text").cast("bigint").alias("n"))
+
+
+@query()
+def q_char_windows(spark, d):
+    return sequences.char_windows(lines(spark, d).withColumn("n", F.length("text")), "page", "line", "n", 500, 1)
+
+
+@query(f"with t as (select conv_id, string_agg('**' || role || '**: ' || trim(regexp_replace(text, '{WS}+', ' ', 'g'), ' '), chr(10) || chr(10) order by turn) as t from conversations group by conv_id) select conv_id, md5(t) as digest from t")
+def q_transcripts(spark, d):
+    return model.transcript(read(spark, d, "conversations")).select("conv_id", F.md5("transcript").alias("digest"))
+
+
+# ---- text expressions ----------------------------------------------------------------------------------------------
+
+
+@query(f"select doc_id, md5(lower(regexp_replace(text, '{WS}+', '', 'g'))) as key, md5(trim(regexp_replace(text, '{WS}+', ' ', 'g'), ' ')) as norm from documents")
+def q_normal_forms(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(T.norm_key(F.col("text"))).alias("key"), F.md5(T.normalize_ws(F.col("text"))).alias("norm"))
+
+
+@query("select conv_id, turn, case when regexp_matches(text, '[ぁ-ヿ]') then 'kana' when regexp_matches(text, '[A-Za-z]') then 'latin' when regexp_matches(text, '[一-鿿]') then 'han' else 'other' end as script from conversations")
+def q_script_class(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", T.script_class(F.col("text")).alias("script"))
+
+
+@query("select conv_id, turn, len(list_filter(regexp_extract_all(text, '[^,;:.!?，。！？；：、]+[,;:.!?，。！？；：、]*'), lambda p: regexp_matches(p, '[\\p{L}\\p{N}]'))) as n from conversations")
+def q_clauses(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", F.size(T.clauses(F.col("text"))).cast("bigint").alias("n"))
+
+
+@query("select doc_id, (case when greatest(1, p - 24) > 1 then '…' else '' end) || substring(text, greatest(1, p - 24), least(length(text), p + 27) - greatest(1, p - 24) + 1) || (case when least(length(text), p + 27) < length(text) then '…' else '' end) as excerpt from (select doc_id, text, instr(text, 'tion') as p from documents) where p > 0")
+def q_excerpts(spark, d):
+    docs = read(spark, d, "documents").withColumn("p", F.instr("text", "tion")).where("p > 0")
+    return docs.select("doc_id", T.excerpt(F.col("text"), F.col("p"), F.lit(4)).alias("excerpt"))
+
+
+@query("select item_id, 'qa_' || left(md5('p|' || item_id || '|' || left(text, 20) || '||x'), 12) as id from benchmark")
+def q_hash_ids(spark, d):
+    return read(spark, d, "benchmark").select("item_id", T.hash_id(F.lit("p"), F.col("item_id"), F.left("text", F.lit(20)), F.lit(None), F.lit("x")).alias("id"))
+
+
+@query("select doc_id, case lang when 'en' then 'English' when 'de' then 'Deutsch' else lang end as name from documents")
+def q_language_names(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.language_name(F.col("lang"), {"en": "English", "de": "Deutsch"}).alias("name"))
+
+
+@query()
+def q_sequence_ratio(spark, d):
+    both = pairs(spark, d).select("id", F.left("src", F.lit(200)).alias("a"), F.left("dst", F.lit(200)).alias("b"))
+    return both.select("id", texts_udf.ratio_udf(F.col("a"), F.col("b")).alias("ratio"), texts_udf.common_udf(F.col("a"), F.col("b")).alias("common"), texts_udf.changes_udf(F.col("a"), F.col("b")).alias("changes"))
+
+
+@query()
+def q_repetition(spark, d):
+    return read(spark, d, "documents").select("doc_id", texts_udf.period_udf(F.col("text")).alias("period")).where("period > 0")
+
+
+# ---- model, logs, statistics, streams ------------------------------------------------------------------------------
+
+
+@query(f"select id, src as translation, cast(1.0 as double) as confidence, 'model' as origin from {PAIRS}")
+def q_mock_translation(spark, d):
+    texts = pairs(spark, d).select("id", F.col("src").alias("text"))
+    return model.translate(texts, spark.createDataFrame([], "id bigint, answer string, origin string"))
+
+
+@query("select event_type as tag, count(*) as calls, cast(sum(event_id % 100) as bigint) as prompt_tokens, cast(sum(user_id) as bigint) as completion_tokens from events group by event_type")
+def q_call_usage(spark, d):
+    return model.usage(read(spark, d, "events").select(F.col("event_type").alias("tag"), (F.col("event_id") % 100).alias("prompt_tokens"), F.col("user_id").alias("completion_tokens")))
+
+
+@query("select page_id, array_to_string(list_distinct(['x-' || (page_id % 3)] || case when page_id % 2 = 0 then ['cp932', 'euc_jp', 'iso2022_jp'] else ['utf-8', 'cp1252', 'latin1'] end || ['utf-8']), '') <> '' as some from pages")
+def q_encoding_candidates(spark, d):
+    found = files.candidates(F.concat(F.lit("x-"), F.col("page_id") % 3), F.when(F.col("page_id") % 2 == 0, "ja").otherwise("xx"))
+    return read(spark, d, "pages").select("page_id", (F.array_join(found, "") != "").alias("some"))
+
+
+@query("select s_suppkey as rel, case when c_custkey is null then 'missing' else 'differs' end as action from supplier left join customer on c_custkey = s_suppkey and c_custkey % 3 <> 0 where c_custkey is null or c_nationkey <> s_nationkey")
+def q_mirror_plan(spark, d):
+    source = read(spark, d, "supplier").select(F.col("s_suppkey").alias("rel"), F.col("s_nationkey").alias("size"))
+    return files.mirror_plan(source, read(spark, d, "customer").where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("rel"), F.col("c_nationkey").alias("size")))
+
+
+@query("with r as (select n_regionkey as g, s_acctbal as v from supplier join nation on n_nationkey = s_nationkey), k as (select g, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as rank from r), s as (select g, sum(rank) as r, count(*) as n from k group by g) select count(*) as groups, cast(sum(n) as bigint) as n, round(12.0 / (sum(n) * (sum(n) + 1)) * sum(r * r / n) - 3 * (sum(n) + 1), 6) as h from s")
+def q_kruskal(spark, d):
+    rows = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("g"), F.col("s_acctbal").alias("v"))
+    return stats.kruskal(rows, "g", "v")
+
+
+@query("select user_id, round(rank() over (order by value) + (count(*) over (partition by value) - 1) / 2.0, 1) as rank, event_id from events")
+def q_average_ranks(spark, d):
+    return stats.average_ranks(read(spark, d, "events").select("user_id", "event_id", "value"), "value").select("user_id", F.round("rank", 1).alias("rank"), "event_id")
+
+
+@query()
+def q_resampled_medians(spark, d):
+    rows = read(spark, d, "customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')")
+    return stats.resample(rows, "c_mktsegment", "c_acctbal", 200).select(F.round("p", 6).alias("p"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
+@query("select event_type, median(value) as median, count(*) as n from events group by event_type")
+def q_medians(spark, d):
+    return read(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("median"), F.count("*").alias("n"))
+
+
+@query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def q_tumbling_windows(spark, d):
+    return stream.windowed_counts(read(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as f from events), s as (select user_id, ts, sum(f) over (partition by user_id order by ts, f desc) as k from g) select min(ts) as start, user_id, count(*) as n from s group by user_id, k")
+def q_session_windows(spark, d):
+    return stream.session_counts(read(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
