@@ -11,7 +11,7 @@ presentation importance whatever they hold. A branch goes leaf by leaf. Where a
 inside it stay, so an article that a host shows many times stays.
 
 Counting happens inside each task first, so a hot host is a few rows a task; only branches to cut (style hashes by host)
-meet the pages again, through a join that splits hot hosts.
+meet the pages again, through a join on host and a salt.
 
 Defined results: null or empty html gives empty text; markup that ends too early is read as far as it goes; null url is a
 host of its own; repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
@@ -34,8 +34,8 @@ from . import common
 
 #: Importance below which a branch goes; pages a node needs for that; weight of an inner node's own entropy by level.
 LEAST_IMPORTANCE, LEAST_PAGES, ATTENUATION = 0.2, 8, 0.9
-#: Entries of a task's own count before it is handed on.
-HELD = 200_000
+#: Entries of a task's own count before it is handed on, and tasks that a host's pages are spread over.
+HELD, SALTS = 200_000, 64
 # Elements by role in HTML, and words in class, id and role attributes that name a branch's purpose.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -258,9 +258,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars of each row of pages."""
     common.tune(pages.sparkSession)
     pages = common.only(pages, id_col, url_col, html_col).toDF("page_id", "url", "html")
-    cut = branches_to_cut(pages).withColumnRenamed("host", "of_host")
+    # The few rows a host has are repeated for each salt, so a hot host's pages go to many tasks.
+    cut = branches_to_cut(pages).select(F.col("host").alias("of_host"), "cut", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
     host = F.coalesce(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST.pattern, 1)), F.lit(""))
-    joined = pages.withColumn("host", host).join(cut, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "cut")
+    joined = pages.withColumns({"host": host, "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")}).join(cut, (F.col("host") == F.col("of_host")) & (F.col("salt") == F.col("of_salt")), "left").select("page_id", "url", "html", "cut")
     kind = pages.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
