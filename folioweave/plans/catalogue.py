@@ -526,10 +526,10 @@ def q_current_translation(spark, d):
 # ---- sequences -----------------------------------------------------------------------------------------------------
 
 
-@query("""with p as (select *, cast(value as bigint) % 7 as mc from events), q as (select *, last_value(case when mc > 0 then mc end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as before from p)
+@query("""with p as (select *, cast(floor(value) as bigint) % 7 as mc from events), q as (select *, last_value(case when mc > 0 then mc end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as before from p)
 select event_id, cast(sum(case when mc > 0 and (before is null or mc <= before) then 1 else 0 end) over (partition by user_id order by event_id) as bigint) as session from q""")
 def q_sessions(spark, d):
-    rows = read(spark, d, "events").withColumn("mc", F.expr("cast(round(value, 0) as bigint) % 7"))
+    rows = read(spark, d, "events").withColumn("mc", F.expr("cast(floor(value) as bigint) % 7"))
     return sequences.sessions(rows, "user_id", "event_id", "mc").select("event_id", b("session"))
 
 
