@@ -13,12 +13,13 @@ must hold a common one (prefix filter). The order puts parts of several shingles
 frequent in a bounded sample last; it decides speed only, any order is exact. The rare sets with s < 1 also send their
 shingles as keys, on which any two such sets that link meet.
 
-Links. Equal part keys form groups. A group of at most ``ALL_PAIRS`` documents gives its pairs, a larger one the pairs with
-its smallest id. Verified pairs give components; groups that still touch several components then give the pairs across
-components whose sizes and bit sketches (popcount of the XOR of two parity sketches, a lower bound of the symmetric
-difference) allow a link, and those are verified too. Every link lies inside some group, so no link between
-components is lost, and copies are never expanded into all pairs. Pairs are verified on whole texts: one side of a pair
-is held, the others stream past, split over tasks by salt.
+Links. Equal part keys form groups; each gives the pairs of its smallest id with its others, a star. Verified stars give
+components. All members of a group stand in its centre's star, so a link that stars missed joins two members of one
+star: stars that still touch several components give the pairs across components whose sizes and bit sketches (popcount of
+the XOR of two parity sketches, a lower bound of the symmetric difference) allow a link, and those are verified too. No
+link between components is lost, and copies are never expanded into all pairs. A star of more than ``STAR`` members is
+compared in blocks, each two blocks a unit of work. Pairs are verified on whole texts: one side of a pair is held, the
+others stream past, split over tasks by salt.
 
 Defined results: null, empty or blank text has no shingles and links with nothing; with fewer than n words the whole
 sequence is one shingle; rows with equal doc_id are one document for links and each give a row; an empty table gives an
@@ -38,8 +39,8 @@ from . import common
 
 N = 5
 #: Ratio of band limits, documents of the sample for hot shingles, sampled documents that make one hot, hot shingles kept,
-#: pairs a small group gives, rows one salt holds.
-BAND, SAMPLE, HOT, HOT_KEPT, ALL_PAIRS, SALT_ROWS = 2.0, 4000, 3, 200_000, 3, 256
+#: members of a star that are compared at once, rows one salt holds.
+BAND, SAMPLE, HOT, HOT_KEPT, STAR, SALT_ROWS = 2.0, 4000, 3, 200_000, 4096, 256
 #: Keys held before they are handed to their buckets.
 HELD = 1_500_000
 #: Edges that one task may finish alone.
@@ -122,7 +123,7 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (a 128-bit hash of the set), sketch and wide (eight times its bits) of each row."""
+    """doc_id, n_shingles, h1, h2 (a 128-bit hash of the set), sketch and wide (twice its bits) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,9 +137,9 @@ def digests(docs: DataFrame, n: int = N) -> DataFrame:
                 h1.append(x[at[1:]] - x[at[:-1]])
                 h2.append(y[at[1:]] - y[at[:-1]])
                 for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    wide = bit_sketch(hashes[i:j], 8) if j > i else b""
+                    wide = bit_sketch(hashes[i:j], 2) if j > i else b""
                     wides.append(wide)
-                    sketches.append(narrow(np.frombuffer(wide, np.uint8), len(wide) // 8).tobytes() if j > i else b"")
+                    sketches.append(narrow(np.frombuffer(wide, np.uint8), len(wide) // 2).tobytes() if j > i else b"")
             join = lambda parts, kind: pa.array(np.concatenate(parts).view(kind) if parts else np.zeros(0, kind))
             yield pa.RecordBatch.from_arrays([batch.column(0), join(sizes, np.int64), join(h1, np.int64), join(h2, np.int64), pa.array(sketches, pa.binary()), pa.array(wides, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sketch", "wide"])
 
@@ -218,45 +219,21 @@ def key_blobs(docs: DataFrame, buckets: int, hot: np.ndarray, n: int = N) -> Dat
     return docs.mapInArrow(run, "bucket bigint, keys binary, ids binary")
 
 
-def key_groups(blobs: DataFrame, partitions: int) -> DataFrame:
-    """a, b, gid: pairs (gid null) and, for larger groups, a row (a null, b the member, gid) for each member."""
+def stars(blobs: DataFrame, partitions: int) -> DataFrame:
+    """a, b: the smallest id of each group of equal keys with every other one; each pair once a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(blobs_k: list[bytes], blobs_i: list[bytes]) -> Iterator[pa.RecordBatch]:
             k = np.concatenate([from_planes(x, np.uint64) for x in blobs_k])
             i = np.concatenate([from_planes(x) for x in blobs_i])
-            order = np.argsort(k, kind="stable")
+            order = np.lexsort((i, k))
             k, i = k[order], i[order]
             new = np.r_[True, k[1:] != k[:-1]]
-            group = np.cumsum(new) - 1
-            keep = (np.bincount(group) > 1)[group]
-            k, i, group = k[keep], i[keep], group[keep]
-            order = np.lexsort((i, group))
-            k, i, group = k[order], i[order], group[order]
-            if not len(i):
-                return
-            new = np.r_[True, (group[1:] != group[:-1]) | (i[1:] != i[:-1])]
-            k, i, group = k[new], i[new], group[new]
-            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            size = np.diff(np.r_[start, len(i)])
-            of = np.repeat(np.arange(len(start)), size)
-            star = i[start][of]
-            other = np.flatnonzero(star != i)
-            pairs = [np.stack([star[other], i[other]], 1)]
-            for g in np.flatnonzero(size == 3).tolist():  # the one pair of three that isn't in the star
-                pairs.append(i[start[g] + 1 : start[g] + 3][None])
-            pairs = np.unique(np.concatenate(pairs), axis=0)
-            big = np.flatnonzero(size > ALL_PAIRS)
-            # Groups of the same members are one: their members' hashes are summed.
-            sums = np.add.reduceat(common.mix(i.view(np.uint64)), start)[big] if len(big) else np.zeros(0, np.uint64)
-            _, first = np.unique(sums, return_index=True)
-            chosen = np.zeros(len(start), bool)
-            chosen[big[first]] = True
-            members = np.flatnonzero(chosen[of])
-            n, m = len(pairs), len(members)
-            gid = common.mix(i.view(np.uint64))
-            gid = np.add.reduceat(gid, start)[of][members].view(np.int64) if m else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(m, pa.int64())]), pa.array(np.r_[pairs[:, 1], i[members]]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(gid)])], names=["a", "b", "gid"])
+            centre = i[new][np.cumsum(new) - 1]
+            some = centre != i
+            pairs = np.unique(np.stack([centre[some], i[some]], 1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         at, blobs_k, blobs_i = None, [], []
         for batch in batches:
@@ -270,7 +247,7 @@ def key_groups(blobs: DataFrame, partitions: int) -> DataFrame:
         if blobs_k:
             yield from done(blobs_k, blobs_i)
 
-    return blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint, gid bigint")
+    return blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_enough(pairs: DataFrame, digest: DataFrame) -> DataFrame:
@@ -390,41 +367,51 @@ def components(edges: DataFrame, local: int = LOCAL, most: int = 60) -> DataFram
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component_id")).distinct())
 
 
-def cross_pairs(groups: DataFrame, labels: DataFrame, digest: DataFrame, partitions: int) -> DataFrame:
-    """Pairs inside a group that lie in different components and that sizes and sketches allow."""
-    labelled = groups.join(labels.withColumnRenamed("doc_id", "b"), "b", "left").withColumn("c", F.coalesce("component_id", "b"))
-    several = labelled.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("gid")
-    rows = labelled.join(several, "gid").join(digest.select(F.col("doc_id").alias("b"), "n_shingles", "wide"), "b").select("gid", "b", "c", "n_shingles", "wide")
+def cross_pairs(pairs: DataFrame, labels: DataFrame, digest: DataFrame, partitions: int) -> DataFrame:
+    """Pairs of one star (centre a, members b) that lie in different components and that sizes and sketches allow."""
+    of = labels.select(F.col("doc_id").alias("b"), "component_id")
+    members = pairs.select("a", "b").join(of, "b", "left").select("a", "b", F.coalesce("component_id", "b").alias("c"))
+    # Components of members alone: pairs with the centre have been verified.
+    several = members.groupBy("a").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n")).where("x != y").select("a", F.ceil(F.col("n") / STAR).cast("int").alias("k"))
+    rows = members.join(several, "a").join(digest.select(F.col("doc_id").alias("b"), "n_shingles", "wide"), "b")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("b"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("a", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "b", "c", "n_shingles", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(group: list[tuple]) -> pa.RecordBatch:
-            group.sort(key=lambda r: (r[2], r[0]))
-            ids, comps, sizes = (np.array([r[i] for r in group], np.int64) for i in range(3))
+        def found(group: list[tuple]) -> pa.RecordBatch:
+            group.sort(key=lambda r: (r[3], r[1]))
+            blocks, ids, comps, sizes = (np.array([r[i] for r in group], np.int64) for i in range(4))
+            several = len(np.unique(blocks)) > 1  # two blocks: only pairs between them, each block has a unit of its own
             stop = np.searchsorted(sizes, sizes * 4 // 3, "right")  # partners above in size
-            width = len(group[0][3])
-            wide = [np.frombuffer(r[3], np.uint8) for r in group]
+            wide = [np.frombuffer(r[4], np.uint8) for r in group]
+            width = len(wide[0])
             least = np.stack([narrow(x, width) for x in wide])  # all on the smallest set's width
             out = []
             for r in range(len(group) - 1):
                 far = slice(r + 1, int(stop[r]))
+                fits = comps[far] != comps[r]
+                if several:
+                    fits &= blocks[far] != blocks[r]
+                if not fits.any():
+                    continue
                 apart = np.bitwise_count(least[far] ^ least[r]).sum(1)
-                for o in (np.flatnonzero((comps[far] != comps[r]) & (apart * 7 <= sizes[far] + sizes[r])) + r + 1).tolist():
+                for o in (np.flatnonzero(fits & (apart * 7 <= sizes[far] + sizes[r])) + r + 1).tolist():
                     if distance(wide[r], wide[o]) * 7 <= sizes[r] + sizes[o]:
                         out.append((min(ids[r], ids[o]), max(ids[r], ids[o])))
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
         at, group = None, []
         for batch in batches:
-            for gid, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if gid != at and group:
-                    yield pairs(group)
+            for a, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, x, y) != at and group:
+                    yield found(group)
                     group = []
-                at = gid
+                at = (a, x, y)
                 group.append(row)
         if group:
-            yield pairs(group)
+            yield found(group)
 
-    return rows.repartition(partitions, "gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition(partitions, "a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -438,14 +425,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = stored.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
     once = (lambda df: df.dropDuplicates(["doc_id"])) if repeated else (lambda df: df)
     single = once(stored.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch", "wide"))
-    groups = common.written(key_groups(key_blobs(docs, 8 * parts, hot_shingles(docs, stored.count(), n), n), parts), "groups")
+    candidates = common.written(stars(key_blobs(docs, 8 * parts, hot_shingles(docs, stored.count(), n), n), parts).distinct(), "stars")
     texts = once(docs)
-    first = common.written(near_enough(groups.where("gid is null").select("a", "b").distinct(), single), "pairs")
+    first = common.written(near_enough(candidates, single), "pairs")
     links = common.written(verify(first, texts, parts, n), "links")
     same = stored.where("n_shingles > 0").join(classes, ["h1", "h2", "n_shingles"]).where("doc_id != class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     edges = links.unionByName(same)
     labels = common.written(components(edges), "labels")
-    more = cross_pairs(groups.where("gid is not null").select("gid", "b").distinct(), labels, single, parts).join(first, ["a", "b"], "left_anti")
+    more = cross_pairs(candidates, labels, single, parts).join(first, ["a", "b"], "left_anti")
     more = common.written(more, "pairs")
     if more.limit(1).count():
         links = links.unionByName(common.written(verify(more, texts, parts, n), "links"))
