@@ -6,6 +6,7 @@ not follow the size of a partition; one document alone may exceed a slice and th
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -40,16 +41,24 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
 
 
-def drop_shared(spark: SparkSession, path: str) -> None:
-    """Delete a folder below the shared one through Hadoop's file system layer."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+def dropped(df: DataFrame) -> None:
+    """Delete the table behind a result of written(), once all that reads it has been written in turn."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._shared_path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished steps: it does so when their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df, from file sizes; no job runs. 0 where it knows none (it then says 2**63)."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -164,20 +173,6 @@ def blank_words() -> np.ndarray:
     return table
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length as one blob: their count, then each array's bytes."""
-    return np.int64(len(arrays[0])).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-
-
-def unpack(blob, kinds: list) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(blob, np.int64, 1)[0]), 8, []
-    for kind in kinds:
-        kind = np.dtype(kind)
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += n * kind.itemsize
-    return out
-
-
 def by_bucket(bucket: np.ndarray, arrays: list[np.ndarray], order: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The rows of each bucket, one bucket after another."""
     if not len(bucket):

@@ -22,7 +22,6 @@ through unchanged.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -119,7 +118,7 @@ class Runs:
         sums = common.prefix_sums(_VALUES[data])
         _, down = common.powers(n + 1)
         hashes = common.mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
-        bits = np.uint64((1 << int(n).bit_length()) - 1)
+        bits = np.uint64((1 << 32) - 1)  # the same for every block: which gram is least must not depend on its neighbours
         least = (hashes & ~bits) | np.arange(len(hashes), dtype=np.uint64)
         have = 1
         while have < w:
@@ -420,9 +419,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = 2 * parts
     stored = common.written(blocks(docs), "blocks")
     told = common.written(owners(anchors(stored, buckets, span, gram), parts), "owners")
-    release(spark)
+    common.release(spark)
     masks = common.written(window_masks(contested_runs(stored, told, buckets, parts, span, gram), parts, span, gram), "masks")
-    release(spark)
+    common.release(spark)
     facts = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *([T.StructField("text", T.StringType())] if with_text else []), *[docs.schema[c] for c in others], *facts])
 
@@ -454,8 +453,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     return beside(stored, told.where("kind = 0").unionByName(masks), parts).mapInArrow(run, schema)
 
-
-def release(spark) -> None:
-    """Let Spark drop shuffle files of finished steps: it does so when their plans are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
