@@ -348,7 +348,8 @@ def components(edges: DataFrame, local: int = LOCAL, most: int = 60) -> DataFram
     for _ in range(most):
         size = edges.count()
         if size <= local:
-            edges = common.written(forest(edges.coalesce(1)), "edges")
+            before, edges = edges, common.written(forest(edges.coalesce(1)), "edges")
+            common.dropped(before)
             break
         # Large star: all larger neighbours of u go to the smallest of u and its neighbours.
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -427,13 +428,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single = once(stored.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch", "wide"))
     candidates = common.written(stars(key_blobs(docs, 8 * parts, hot_shingles(docs, stored.count(), n), n), parts).distinct(), "stars")
     texts = once(docs)
+    common.release(docs.sparkSession)
     first = common.written(near_enough(candidates, single), "pairs")
     links = common.written(verify(first, texts, parts, n), "links")
+    common.release(docs.sparkSession)
     same = stored.where("n_shingles > 0").join(classes, ["h1", "h2", "n_shingles"]).where("doc_id != class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     edges = links.unionByName(same)
     labels = common.written(components(edges), "labels")
     more = cross_pairs(candidates, labels, single, parts).join(first, ["a", "b"], "left_anti")
     more = common.written(more, "pairs")
+    common.dropped(candidates)
+    common.dropped(first)
     if more.limit(1).count():
         links = links.unionByName(common.written(verify(more, texts, parts, n), "links"))
         labels = common.written(components(links.unionByName(same)), "labels")
