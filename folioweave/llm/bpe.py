@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries of a worker's caches of pre-tokens and of blank-separated chunks, and the longest of either that is kept.
-CACHE, LONGEST_CACHED = 400_000, 64
+CACHE, LONGEST_CACHED = 250_000, 64
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _DOUBLE_BLANK = re.compile(r"\s\s|[ \n]$|^[ \n]|[\x00\x1c-\x1f]")
 _worker: dict = {}

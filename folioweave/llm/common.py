@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 BATCH_ROWS = 2000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

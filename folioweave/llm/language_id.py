@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled rows sampled for each language, characters of each, word types kept, rounds of fitting, pseudo-count, cache entries.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TYPES, ROUNDS, PRIOR, CACHE = 600, 4000, 3000, 2, 0.1, 600_000
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TYPES, ROUNDS, PRIOR, CACHE = 600, 4000, 3000, 2, 0.1, 250_000
 #: Words in one forward pass.
 AT_ONCE = 20_000
 #: A word longer than this is scored in spans of this many characters, which bounds a forward pass.
@@ -249,7 +249,7 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, int], np.ndarray]
                     _worker.update(key=key, scorer=Scorer(pieces, table))
                 scorer = _worker["scorer"]
             best, scores, sizes = [], [], []
-            for a, b in common.slices(common.text_buffer(batch.column(1))[1]):
+            for a, b in common.slices(common.text_buffer(batch.column(1))[1], 4 << 20):
                 counted = [word_counts(t.as_py()) for t in batch.column(1).slice(a, b - a)]
                 if scorer:
                     scorer.learn(set().union(*counted))

@@ -42,7 +42,7 @@ N = 5
 #: members of a star that are compared at once, rows one salt holds.
 BAND, SAMPLE, HOT, HOT_KEPT, STAR, SALT_ROWS = 2.0, 4000, 3, 200_000, 4096, 256
 #: Keys held before they are handed to their buckets.
-HELD = 1_500_000
+HELD = 750_000
 #: Edges that one task may finish alone.
 LOCAL = 1_000_000
 _WORD = common.blank_words()
