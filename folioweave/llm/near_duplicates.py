@@ -43,6 +43,8 @@ N = 5
 BAND, SAMPLE, HOT, HOT_KEPT, STAR, SALT_ROWS = 2.0, 4000, 3, 200_000, 4096, 256
 #: Keys held before they are handed to their buckets.
 HELD = 750_000
+#: Pairs whose requests for texts are broadcast (about 50 bytes a request, two a pair at most).
+ASKED = 250_000
 #: Edges that one task may finish alone.
 LOCAL = 1_000_000
 _WORD = common.blank_words()
@@ -285,7 +287,8 @@ def verify(pairs: DataFrame, docs: DataFrame, partitions: int, n: int = N) -> Da
     counts = pairs.groupBy("a").count()
     salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / SALT_ROWS)).cast("bigint"))
     asked = salted.select("a", "salt", F.lit(1).alias("kind"), F.col("b").alias("doc_id")).unionByName(salted.select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("doc_id")).distinct())
-    sent = asked.join(docs, "doc_id").select("a", "salt", "kind", "doc_id", "text")
+    # Few enough requests (counted) go to the texts; more of them meet the texts in a shuffle.
+    sent = (F.broadcast(asked) if pairs.count() <= ASKED else asked).join(docs, "doc_id").select("a", "salt", "kind", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None)
