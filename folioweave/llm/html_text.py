@@ -223,7 +223,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInArrow(count, "host string, style bigint, above bigint, leaf boolean, feature bigint, n bigint").groupBy("host", "style", "above", "leaf", "feature").agg(F.sum("n").alias("n"))
 
 
-def importances(counts: DataFrame, levels: int = 3) -> DataFrame:
+def importances(counts: DataFrame) -> DataFrame:
     """host, style, m (most pages that show one of its features' sets), importance of each node of the style trees."""
     by_node = counts.groupBy("host", "style", "above").agg(
         F.sum(F.when(F.col("leaf"), F.col("n"))).alias("texts"), F.sum(F.when(F.col("leaf"), F.col("n") * F.log("n"))).alias("text_logs"),
