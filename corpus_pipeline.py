@@ -25,11 +25,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates.near_duplicates(docs)
-    copies = found.where("component_id != doc_id").select("doc_id")
-    kept = docs.select(COLUMNS).join(copies, "doc_id", "left_anti")
+    docs = docs.select(COLUMNS)
     repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    if not repeated:
+        copies = near_duplicates.near_duplicates(docs).where("component_id != doc_id").select("doc_id")
+        return docs.join(copies, "doc_id", "left_anti")
+    # An id of several rows says nothing of their texts: rows are numbered in the order of ids and are documents of their own.
+    named = common.written(docs.where("doc_id is not null").orderBy(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    copies = near_duplicates.near_duplicates(named, "row").where("component_id != doc_id").select(F.col("doc_id").alias("row"))
+    return named.join(copies, "row", "left_anti").select(COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
