@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from folioweave.llm import bpe, common, decontaminate, language_id, near_duplicates, suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Items of fewer words than a full window are ordinary phrases; a hit of one alone doesn't drop a document.
-LEAST_HIT_WORDS = decontaminate.SPAN
+#: As op3 decides: any hit, be it a window of an item or the whole of a shorter one, drops a document; hits aren't summed up.
+LEAST_HIT_WORDS = 1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,3 +13,10 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     got = corpus_pipeline.drop_near_copies(spark, rows(spark, *given).repartition(3), "").collect()
     want = [(None, texts[0]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (5, texts[4]), (6, texts[5])]
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_contamination_is_decided_by_item(spark, tmp_path):
+    spark.createDataFrame([(1, "seven short words of one whole item"), (2, " ".join(f"q{i}" for i in range(30)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = [(1, "x seven short words of one whole item y"), (2, "seven short words of one " * 9), (3, " ".join(f"q{i}" for i in range(5, 14))), (4, " ".join(f"q{i}" for i in range(5, 15)))]
+    got = corpus_pipeline.drop_contaminated(spark, rows(spark, *given), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [2, 3]
