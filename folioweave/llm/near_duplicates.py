@@ -13,13 +13,13 @@ must hold a common one (prefix filter). The order puts parts of several shingles
 frequent in a bounded sample last; it decides speed only, any order is exact. The rare sets with s < 1 also send their
 shingles as keys, on which any two such sets that link meet.
 
-Links. Equal part keys form groups; each gives the pairs of its smallest id with its others, a star. Verified stars give
-components. All members of a group stand in its centre's star, so a link that stars missed joins two members of one
-star: stars that still touch several components give the pairs across components whose sizes and bit sketches (popcount of
-the XOR of two parity sketches, a lower bound of the symmetric difference) allow a link, and those are verified too. No
-link between components is lost, and copies are never expanded into all pairs. A star of more than ``STAR`` members is
-compared in blocks, each two blocks a unit of work. Pairs are verified on whole texts: one side of a pair is held, the
-others stream past, split over tasks by salt.
+Links. Equal part keys form groups, whose ids become their classes'; each gives its smallest id's class, the centre, with the
+others, a star. Both members of every link stand in some star. In each star, members that sizes and bit sketches (popcount of
+the XOR of two parity sketches, a lower bound of the symmetric difference) allow no link with any other are dropped; of the
+rest the whole texts meet, all with all, as one product of matrices. What comes out is a count of links for each member and
+a tree for each connected part, so no table holds all pairs of a group of copies. A star of more than ``STAR`` members
+(``TEXTS`` for texts) is compared in blocks, each two blocks a unit of work. A pair that meets in several stars counts in
+the one of the smallest centre.
 
 Defined results: null, empty or blank text has no shingles and links with nothing; with fewer than n words the whole
 sequence is one shingle; rows with equal doc_id are one document for links and each give a row; an empty table gives an
@@ -39,11 +39,11 @@ from . import common
 
 N = 5
 #: Ratio of band limits, documents of the sample for hot shingles, sampled documents that make one hot, hot shingles kept,
-#: members of a star that are compared at once, rows one salt holds.
-BAND, SAMPLE, HOT, HOT_KEPT, STAR, SALT_ROWS = 2.0, 4000, 3, 200_000, 4096, 256
+#: members of a star that are compared at once by sketches, and by texts.
+BAND, SAMPLE, HOT, HOT_KEPT, STAR, TEXTS = 2.0, 4000, 3, 200_000, 4096, 512
 #: Keys held before they are handed to their buckets.
 HELD = 750_000
-#: Pairs whose requests for texts are broadcast (about 50 bytes a request, two a pair at most).
+#: Requests for texts that are broadcast (about 50 bytes a request, of more centres more).
 ASKED = 250_000
 #: Edges that one task may finish alone.
 LOCAL = 1_000_000
@@ -125,12 +125,12 @@ def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (a 128-bit hash of the set), sketch and wide (twice its bits) of each row."""
+    """doc_id, n_shingles, h1, h2 (a 128-bit hash of the set) and wide (its sketch, of twice the bits) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.text_buffer(batch.column(1))
-            sizes, h1, h2, sketches, wides = [], [], [], [], []
+            sizes, h1, h2, wides = [], [], [], []
             for a, b in common.slices(offsets):
                 hashes, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 x = np.r_[np.uint64(0), np.cumsum(common.mix(hashes), dtype=np.uint64)]
@@ -139,14 +139,12 @@ def digests(docs: DataFrame, n: int = N) -> DataFrame:
                 h1.append(x[at[1:]] - x[at[:-1]])
                 h2.append(y[at[1:]] - y[at[:-1]])
                 for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    wide = bit_sketch(hashes[i:j], 2) if j > i else b""
-                    wides.append(wide)
-                    sketches.append(narrow(np.frombuffer(wide, np.uint8), len(wide) // 2).tobytes() if j > i else b"")
+                    wides.append(bit_sketch(hashes[i:j], 2) if j > i else b"")
             join = lambda parts, kind: pa.array(np.concatenate(parts).view(kind) if parts else np.zeros(0, kind))
-            yield pa.RecordBatch.from_arrays([batch.column(0), join(sizes, np.int64), join(h1, np.int64), join(h2, np.int64), pa.array(sketches, pa.binary()), pa.array(wides, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sketch", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), join(sizes, np.int64), join(h1, np.int64), join(h2, np.int64), pa.array(wides, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "wide"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, h1 bigint, h2 bigint, sketch binary, wide binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, h1 bigint, h2 bigint, wide binary")
 
 
 def hot_shingles(docs: DataFrame, rows: int, n: int = N) -> np.ndarray:
@@ -252,22 +250,6 @@ def stars(blobs: DataFrame, partitions: int) -> DataFrame:
     return blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_enough(pairs: DataFrame, digest: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow a link; digest has one row for each document."""
-    one = digest.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    two = digest.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b").where((F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for na, sa, nb, sb in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
-                keep.append(distance(np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)) * 7 <= na + nb)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint")
-
-
 def distance(x: np.ndarray, y: np.ndarray) -> int:
     """Bits in which two sketches differ, on the narrower one's width: at most the symmetric difference of the sets."""
     size = min(len(x), len(y))
@@ -282,36 +264,6 @@ def narrow(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def verify(pairs: DataFrame, docs: DataFrame, partitions: int, n: int = N) -> DataFrame:
-    """The pairs (a, b) that link by their whole texts. docs has one row for each document."""
-    counts = pairs.groupBy("a").count()
-    salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / SALT_ROWS)).cast("bigint"))
-    asked = salted.select("a", "salt", F.lit(1).alias("kind"), F.col("b").alias("doc_id")).unionByName(salted.select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("doc_id")).distinct())
-    # Few enough requests (counted) go to the texts; more of them meet the texts in a shuffle.
-    sent = (F.broadcast(asked) if pairs.count() <= ASKED else asked).join(docs, "doc_id").select("a", "salt", "kind", "doc_id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None, None)
-        own = np.zeros(0, np.uint64)
-        for batch in batches:
-            data, offsets = common.text_buffer(batch.column(4))
-            a_ids, kinds, ids, salts = (batch.column(c).to_numpy() for c in (0, 2, 3, 1))
-            out: list[tuple[int, int]] = []
-            for lo, hi in common.slices(offsets):
-                hashes, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
-                for row in range(lo, hi):
-                    mine = hashes[at[row - lo] : at[row - lo + 1]]
-                    if kinds[row] == 0:
-                        held, own = (a_ids[row], salts[row]), mine
-                    elif held == (a_ids[row], salts[row]):
-                        both = len(np.intersect1d(own, mine, assume_unique=True))
-                        if linked_sizes(len(own), len(mine), both) and len(mine):
-                            out.append((int(a_ids[row]), int(ids[row])))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-
-    return sent.repartition(partitions, "a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, "a bigint, b bigint")
-
-
 def forest(edges: DataFrame) -> DataFrame:
     """u, v: in each task, every node with a smaller one joins the smallest of its part of the graph."""
 
@@ -371,55 +323,133 @@ def components(edges: DataFrame, local: int = LOCAL, most: int = 60) -> DataFram
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component_id")).distinct())
 
 
-def cross_pairs(pairs: DataFrame, labels: DataFrame, digest: DataFrame, partitions: int) -> DataFrame:
-    """Pairs of one star (centre a, members b) that lie in different components and that sizes and sketches allow."""
-    of = labels.select(F.col("doc_id").alias("b"), "component_id")
-    members = pairs.select("a", "b").join(of, "b", "left").select("a", "b", F.coalesce("component_id", "b").alias("c"))
-    # Components of members alone: pairs with the centre have been verified.
-    several = members.groupBy("a").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n")).where("x != y").select("a", F.ceil(F.col("n") / STAR).cast("int").alias("k"))
-    rows = members.join(several, "a").join(digest.select(F.col("doc_id").alias("b"), "n_shingles", "wide"), "b")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("b"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("a", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "b", "c", "n_shingles", "wide")
+def blocked(members: DataFrame, most: int) -> DataFrame:
+    """members (a, b, ...) in blocks of about ``most`` of a star, each once for every block it meets: with x <= y, the unit's
+    blocks, and block, its own."""
+    sizes = members.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("k"))
+    rows = members.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("k", "other")
+
+
+def partnered(members: DataFrame, digest: DataFrame, partitions: int) -> DataFrame:
+    """The members (a, b) that sizes and sketches allow a link with some other member of their star a."""
+    rows = blocked(members, STAR).join(digest.select(F.col("doc_id").alias("b"), "n_shingles", "wide"), "b").select("a", "x", "y", "block", "b", "n_shingles", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(group: list[tuple]) -> pa.RecordBatch:
-            group.sort(key=lambda r: (r[3], r[1]))
-            blocks, ids, comps, sizes = (np.array([r[i] for r in group], np.int64) for i in range(4))
+        def found(a: int, group: list[tuple]) -> pa.RecordBatch:
+            group.sort(key=lambda r: (r[2], r[1]))
+            blocks, ids, sizes = (np.array([r[i] for r in group], np.int64) for i in range(3))
             several = len(np.unique(blocks)) > 1  # two blocks: only pairs between them, each block has a unit of its own
             stop = np.searchsorted(sizes, sizes * 4 // 3, "right")  # partners above in size
-            wide = [np.frombuffer(r[4], np.uint8) for r in group]
-            width = len(wide[0])
-            least = np.stack([narrow(x, width) for x in wide])  # all on the smallest set's width
-            out = []
+            wide = [np.frombuffer(r[3], np.uint8) for r in group]
+            least = np.stack([narrow(x, len(wide[0])) for x in wide])  # all on the smallest set's width
+            kept = np.zeros(len(group), bool)
             for r in range(len(group) - 1):
                 far = slice(r + 1, int(stop[r]))
-                fits = comps[far] != comps[r]
+                fits = ~kept[far] if kept[r] else np.ones(int(stop[r]) - r - 1, bool)
                 if several:
                     fits &= blocks[far] != blocks[r]
                 if not fits.any():
                     continue
                 apart = np.bitwise_count(least[far] ^ least[r]).sum(1)
                 for o in (np.flatnonzero(fits & (apart * 7 <= sizes[far] + sizes[r])) + r + 1).tolist():
-                    if distance(wide[r], wide[o]) * 7 <= sizes[r] + sizes[o]:
-                        out.append((min(ids[r], ids[o]), max(ids[r], ids[o])))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+                    if not (kept[r] and kept[o]) and distance(wide[r], wide[o]) * 7 <= sizes[r] + sizes[o]:
+                        kept[r] = kept[o] = True
+            return pa.RecordBatch.from_arrays([pa.array(np.full(int(kept.sum()), a, np.int64)), pa.array(ids[kept])], names=["a", "b"])
 
         at, group = None, []
         for batch in batches:
             for a, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (a, x, y) != at and group:
-                    yield found(group)
+                    yield found(at[0], group)
                     group = []
                 at = (a, x, y)
                 group.append(row)
         if group:
-            yield found(group)
+            yield found(at[0], group)
 
     return rows.repartition(partitions, "a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def overlaps(values: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many values the sets ``left`` share with the sets ``right``, all with all; each set's values are distinct."""
+    out = np.zeros((len(left), len(right)), np.float32)  # counts below 2**24 are exact
+    flat = np.concatenate(values)
+    _, of, times = np.unique(flat, return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(values)), [len(v) for v in values]), times[of] > 1
+    column, owner = (np.cumsum(times > 1) - 1)[of[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        held = np.zeros((len(values), min(width, int(column[-1]) + 1 - low)), np.float32)
+        held[owner[a:b], column[a:b] - low] = 1
+        out += held[left] @ held[right].T
+    return out.astype(np.int64)
+
+
+def trees(linked: np.ndarray) -> list[tuple[int, int]]:
+    """(root, other) of every part of a symmetric matrix of links."""
+    left, out = np.ones(len(linked), bool), []
+    for root in np.flatnonzero(linked.any(1)).tolist():
+        new = np.array([root]) if left[root] else []
+        left[root] = False
+        while len(new):
+            new = np.flatnonzero(linked[new].any(0) & left)
+            left[new] = False
+            out += [(root, int(o)) for o in new]
+    return out
+
+
+def star_links(members: DataFrame, docs: DataFrame, partitions: int, n: int = N) -> DataFrame:
+    """u, v, n: trees of the links (u, v) that members' whole texts make in each unit, with n 0; and rows (u, u) with the number n
+    of links of u in a unit. A pair that meets in several stars is taken in that of the smallest centre."""
+    centres = members.groupBy("b").agg(F.collect_set("a").alias("centres"))
+    rows = blocked(members, min(STAR, TEXTS)).join(centres, "b").select("a", "x", "y", "block", F.col("b").alias("doc_id"), F.filter("centres", lambda c: c < F.col("a")).alias("centres"))
+    # Few enough requests (counted) go to the texts; more of them meet the texts in a shuffle.
+    asked = rows.agg(F.sum(1 + F.size("centres") / 4)).first()[0] or 0
+    sent = (F.broadcast(rows) if asked <= ASKED else rows).join(docs, "doc_id").select("a", "x", "y", "block", "doc_id", "centres", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(group: list[tuple]) -> pa.RecordBatch:
+            blocks, ids = (np.array([r[i] for r in group], np.int64) for i in range(2))
+            sizes = np.array([len(r[3]) for r in group], np.int64)
+            several = len(np.unique(blocks)) > 1
+            one = np.flatnonzero(blocks == blocks[0]) if several else np.arange(len(group))
+            two = np.flatnonzero(blocks != blocks[0]) if several else one
+            both = overlaps([r[3] for r in group], one, two)
+            fits = linked_sizes(sizes[one][:, None], sizes[two][None, :], both) & (both > 0) & (ids[one][:, None] != ids[two][None, :])
+            fits &= overlaps([np.array(r[2], np.int64) for r in group], one, two) == 0
+            linked = np.zeros((len(group), len(group)), bool)
+            linked[np.ix_(one, two)] = fits
+            linked[np.ix_(two, one)] |= fits.T
+            counts, edges = linked.sum(1), trees(linked)
+            some = np.flatnonzero(counts)
+            u = np.r_[ids[some], ids[[i for i, _ in edges]]] if edges else ids[some]
+            v = np.r_[ids[some], ids[[j for _, j in edges]]] if edges else ids[some]
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.r_[counts[some], np.zeros(len(edges), np.int64)])], names=["u", "v", "n"])
+
+        at, group = None, []
+        for batch in batches:
+            data, offsets = common.text_buffer(batch.column(6))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            blocks, ids, lists = (batch.column(c).to_pylist() for c in (3, 4, 5))
+            for lo, hi in common.slices(offsets):
+                hashes, cuts = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
+                for row in range(lo, hi):
+                    if keys[row] != at and group:
+                        yield found(group)
+                        group = []
+                    at = keys[row]
+                    group.append((blocks[row], ids[row], lists[row], hashes[cuts[row - lo] : cuts[row - lo + 1]].copy()))
+        if group:
+            yield found(group)
+
+    return sent.repartition(partitions, "a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(run, "u bigint, v bigint, n bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (smallest id with the same set), n_links (verified links of the class)."""
+    """doc_id, n_shingles, component_id, class_id (smallest id with the same set), n_links (other classes that the class links)."""
     common.tune(docs.sparkSession)
     docs = documents(docs, id_col, text_col)
     parts = common.partitions_for(docs)
@@ -428,23 +458,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     repeated = stored.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
     once = (lambda df: df.dropDuplicates(["doc_id"])) if repeated else (lambda df: df)
-    single = once(stored.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sketch", "wide"))
+    single = once(stored.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "wide"))
+    same = common.written(stored.where("n_shingles > 0 and doc_id is not null").select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "class_id"), "classes")
     candidates = common.written(stars(key_blobs(docs, 8 * parts, hot_shingles(docs, stored.count(), n), n), parts).distinct(), "stars")
-    texts = once(docs)
     common.release(docs.sparkSession)
-    first = common.written(near_enough(candidates, single), "pairs")
-    links = common.written(verify(first, texts, parts, n), "links")
+    of = once(same)
+    pairs = candidates.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    members = common.written(pairs.unionByName(pairs.select("a", F.col("a").alias("b"))).distinct(), "members")
+    common.dropped(candidates)
+    near = common.written(partnered(members, single, parts), "partnered")
+    common.dropped(members)
+    common.release(docs.sparkSession)
+    links = common.written(star_links(near, once(docs), parts, n), "links")
+    common.dropped(near)
     common.release(docs.sparkSession)
-    same = stored.where("n_shingles > 0").join(classes, ["h1", "h2", "n_shingles"]).where("doc_id != class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    edges = links.unionByName(same)
+    edges = links.where("u != v").select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(same.where("doc_id != class_id").toDF("a", "b"))
     labels = common.written(components(edges), "labels")
-    more = cross_pairs(candidates, labels, single, parts).join(first, ["a", "b"], "left_anti")
-    more = common.written(more, "pairs")
-    common.dropped(candidates)
-    common.dropped(first)
-    if more.limit(1).count():
-        links = links.unionByName(common.written(verify(more, texts, parts, n), "links"))
-        labels = common.written(components(links.unionByName(same)), "labels")
-    n_links = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
-    found = stored.drop("sketch", "wide").join(classes, ["h1", "h2", "n_shingles"], "left").join(labels, "doc_id", "left").join(n_links, "doc_id", "left")
+    n_links = links.where("n > 0").groupBy(F.col("u").alias("class_id")).agg(F.sum("n").alias("n_links"))
+    found = stored.select("doc_id", "n_shingles", "h1", "h2").join(classes.join(n_links, "class_id", "left"), ["h1", "h2", "n_shingles"], "left").join(labels, "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -128,3 +128,27 @@ def test_components_by_stars(spark):
     df = spark.createDataFrame(edges, "a long, b long").repartition(6)
     for local in (5, 10**6):
         assert {r.doc_id: r.component_id for r in nd.components(df, local).collect()} == want
+
+
+def test_links_of_each_class(spark, monkeypatch):
+    monkeypatch.setattr(nd, "STAR", 7)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = corpus(4, 30)
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            t[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        rows += [(5000 + i, " ".join(t)), (6000 + i * 7 % 60, " ".join(t).upper())]
+    classes = {}
+    for i, t in rows:
+        if s := sets(t):
+            classes.setdefault(frozenset(s), []).append(i)
+    want = {}
+    for s, ids in classes.items():
+        n = sum(s is not o and 100 * len(s & o) >= 75 * len(s | o) for o in classes)
+        want |= {i: (min(ids), n) for i in ids}
+    for partitions in (1, 6):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+        got = {r.doc_id: (r.class_id, r.n_links) for r in nd.near_duplicates(df).collect()}
+        assert got == {i: want.get(i, (i, 0)) for i, _ in rows}
