@@ -613,7 +613,7 @@ def q_language_names(spark, d):
 
 @query()
 def q_sequence_ratio(spark, d):
-    both = pairs(spark, d).select("id", F.left("src", F.lit(200)).alias("a"), F.left("dst", F.lit(200)).alias("b"))
+    both = pairs(spark, d).select("id", F.col("src").alias("a"), F.col("dst").alias("b"))
     return both.select("id", texts_udf.ratio_udf(F.col("a"), F.col("b")).alias("ratio"), texts_udf.common_udf(F.col("a"), F.col("b")).alias("common"), texts_udf.changes_udf(F.col("a"), F.col("b")).alias("changes"))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from folioweave.operators import mining, stats
+from folioweave.plans import catalogue
 
 
 def byte_pairs(words, merges, least):
@@ -53,3 +54,10 @@ def test_resample_reads_all_values(spark):
     got = stats.resample(rows, "g", "v", 4).first()
     assert got.p == (sum(x >= abs(np.median(a) - np.median(b)) for x in permuted) + 1) / 5
     assert np.allclose([got.low, got.high], np.percentile(boot, [2.5, 97.5]))
+
+
+def test_sequence_ratio_of_whole_texts(spark, tmp_path):
+    a, b = "x" * 200 + "abcdefghij", "x" * 200 + "klmnopqrst"
+    spark.createDataFrame([(1, 1, "user", a), (1, 2, "assistant", b)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalogue.queries()["sequence_ratio"](spark, str(tmp_path)).collect()
+    assert [(r.common, r.changes) for r in got] == [(200, 2)] and got[0].ratio < 1
