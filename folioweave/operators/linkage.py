@@ -9,11 +9,9 @@ from ..functions import text as T
 from .graph import settled
 
 
-def shared_target_predecessors(links: DataFrame, ranks: DataFrame, k: int = 3, most: int = 64) -> DataFrame:
-    """page_id, before, common: earlier pages by rank that share most link targets, best k. Targets that more than ``most``
-    pages link to are navigation and don't count, which also bounds the pairs that a target gives."""
-    heavy = links.groupBy("href").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("href")
-    placed = links.join(heavy, "href").join(ranks, "page_id")
+def shared_target_predecessors(links: DataFrame, ranks: DataFrame, k: int = 3) -> DataFrame:
+    """page_id, before, common: earlier pages by rank that share most link targets, best k. Every target counts."""
+    placed = links.join(ranks, "page_id")
     a, b = placed.select("href", "page_id", "rank"), placed.select("href", F.col("page_id").alias("before"), F.col("rank").alias("r"))
     common = a.join(b, "href").where("r < rank").groupBy("page_id", "before").agg(F.count("*").alias("common"))
     order = Window.partitionBy("page_id").orderBy(F.desc("common"), "before")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from folioweave.operators import mining, stats
+from folioweave.operators import linkage, mining, stats
 from folioweave.plans import catalogue
 
 
@@ -56,6 +56,16 @@ def test_resample_reads_all_values(spark):
     assert np.allclose([got.low, got.high], np.percentile(boot, [2.5, 97.5]))
 
 
+def test_targets_of_many_pages_count(spark):
+    links = spark.createDataFrame([(i, h) for i in range(70) for h in ("hot", f"own{i // 2}")], "page_id long, href string")
+    got = linkage.shared_target_predecessors(links, links.selectExpr("page_id", "page_id as rank").distinct()).collect()
+    want = []
+    for i in range(70):
+        before = [i - 1] * (i % 2) + list(range(i))
+        want += [(i, j, 1 + (j // 2 == i // 2)) for j in list(dict.fromkeys(before))[:3]]
+    assert sorted(tuple(r)[:3] for r in got) == sorted(want)
+
+
 def test_sequence_ratio_of_whole_texts(spark, tmp_path):
     a, b = "x" * 200 + "abcdefghij", "x" * 200 + "klmnopqrst"
     spark.createDataFrame([(1, 1, "user", a), (1, 2, "assistant", b)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
