@@ -6,11 +6,12 @@ not follow the size of a partition; one document alone may exceed a slice and th
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,50 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
+_kept: dict = {}
+_tables: list[DataFrame] = []
+
+
+def kept(key, make: Callable):
+    """What a worker keeps from task to task: one object at a time, so workers that several operators share hold no more than
+    the last one's caches."""
+    if _kept.get("key") != key:
+        forget()
+        _kept.update(key=key, value=make())
+    return _kept["value"]
+
+
+def forget() -> None:
+    _kept.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as far as the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _enter(keeps) -> None:
+    if _kept.get("key") != keeps:
+        forget()
+
+
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps=None) -> DataFrame:
+    """df.mapInArrow(run, schema) in tasks that first drop what other operators kept in the worker (but for the object kept
+    under ``keeps``) and give their memory back at the end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _enter(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(task, schema)
 
 
 def tune(spark: SparkSession) -> None:
@@ -31,8 +76,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir, else (tests) a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/folioweave"
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir; in local mode a temporary folder will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/folioweave"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -43,12 +92,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    _tables.append(out)
+    return out
+
+
+def moved(stage: Callable[..., DataFrame], spark: SparkSession, docs: DataFrame, sf_dir: str, name: str) -> DataFrame:
+    """What a stage makes of docs, as a table; the tables that the stage itself wrote are deleted behind it."""
+    before = len(_tables)
+    out = written(stage(spark, docs, sf_dir), name)
+    for table in [t for t in _tables[before:] if t is not out]:
+        dropped(table)
     return out
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the table behind a result of written(), once all that reads it has been written in turn."""
     spark = df.sparkSession
+    _tables[:] = [t for t in _tables if t is not df]
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._shared_path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -185,6 +245,11 @@ def by_bucket(bucket: np.ndarray, arrays: list[np.ndarray], order: np.ndarray |
         yield int(sorted_bucket[a]), [x[a:b] for x in arrays]
 
 
+def dealt(df: DataFrame, buckets: int, column: str = "bucket") -> DataFrame:
+    """df with each bucket's rows in a partition of its own number, sorted by bucket."""
+    return df.repartitionById(buckets, F.col(column).cast("int")).sortWithinPartitions(column)
+
+
 def only(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns of docs, whatever others stand beside them."""
     return docs.select(*[F.col(f"`{n}`") for n in names])

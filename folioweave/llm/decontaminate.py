@@ -199,7 +199,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 empty = np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), pa.array([empty if w is None else w for w in words], pa.list_(pa.int32())), pa.array([x or [] for x in items], pa.list_(pa.string()))], names=["doc_id", "row", "n_words", "hit_words", "items"])
 
-        parts.append(docs.mapInArrow(scan, schema))
+        parts.append(common.arrow(docs, scan, schema))
     found = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:
