@@ -12,6 +12,7 @@ table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,10 +23,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents sampled for tier one, the pre-tokens kept from them, and the entries of a worker's cache.
-SAMPLE_DOCS, FREQUENT, CACHE = 2000, 60_000, 800_000
+#: Documents sampled for tier one, the pre-tokens kept from them, and the entries and characters of a worker's cache.
+SAMPLE_DOCS, FREQUENT, CACHE, CACHE_CHARS = 2000, 60_000, 800_000, 12 << 20
 PRETOKEN = re.compile("\n|▁*[^▁\n]+|▁+")
-_worker: dict = {}
 
 
 def hash_names(names: list[str]) -> np.ndarray:
@@ -51,18 +51,16 @@ class Lengths:
 
 
 def load_model(path: str):
-    """The library's processor, cached in this worker; checks once that pre-token seams are safe in this vocabulary."""
-    if path not in _worker:
-        import sentencepiece
+    """The library's processor; checks that pre-token seams are safe in this vocabulary."""
+    import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        if any(re.search("[^▁]▁|\n", p) for p in pieces if len(p) > 1):
-            raise ValueError("a piece of this vocabulary spans pre-tokens")
-        if model.encode(" a  b") != [*model.encode(" a"), *model.encode(" b")]:
-            raise ValueError("this model changes white space; its pre-tokens can't be counted one by one")
-        _worker[path] = model
-    return _worker[path]
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    if any(re.search("[^▁]▁|\n", p) for p in pieces if len(p) > 1):
+        raise ValueError("a piece of this vocabulary spans pre-tokens")
+    if model.encode(" a  b") != [*model.encode(" a"), *model.encode(" b")]:
+        raise ValueError("this model changes white space; its pre-tokens can't be counted one by one")
+    return model
 
 
 def pretokens(text: str) -> list[str]:
@@ -83,13 +81,15 @@ class TextCounter:
     """Counts of texts in one worker: tier one first, then the cache, then the library."""
 
     def __init__(self, path: str, frequent: Lengths):
-        self.model, self.frequent, self.cache = load_model(path), frequent, {}
+        self.model, self.frequent, self.cache, self.chars = load_model(path), frequent, {}, 0
 
     def learn(self, names: list[str]) -> None:
         found = self.frequent.find(hash_names(names)).tolist()
         misses = [n for n, length in zip(names, found, strict=True) if length < 0]
-        if len(self.cache) + len(names) > CACHE:
+        self.chars += sum(map(len, names))
+        if len(self.cache) + len(names) > CACHE or self.chars > CACHE_CHARS:
             self.cache.clear()
+            self.chars = sum(map(len, names))
         self.cache.update((n, x) for n, x in zip(names, found, strict=True) if x >= 0)
         for i in range(0, len(misses), 50_000):
             part = misses[i : i + 50_000]
@@ -104,7 +104,10 @@ class TextCounter:
             lengths = list(map(self.cache.get, names))
             if None in lengths:
                 self.learn(list({n for n, x in zip(names, lengths, strict=True) if x is None}))
-                lengths = list(map(self.cache.__getitem__, names))
+                lengths = list(map(self.cache.get, names))
+                while None in lengths:  # the cache started anew: what it held before is learnt again
+                    self.learn(list(set(names)))
+                    lengths = list(map(self.cache.get, names))
             total += sum(lengths)
         return total
 
@@ -124,8 +127,7 @@ def bounded_parts(text: str, most: int = 1 << 20) -> Iterator[str]:
 
 def frequent_lengths(docs: DataFrame, text: str, path: str, sample_docs: int = SAMPLE_DOCS, keep: int = FREQUENT) -> Lengths:
     """Tier one from at most sample_docs rows: it only decides what is fast, never what is counted."""
-    texts = [r[0] for r in docs.select(F.substring(F.col(text), 1, 20_000)).where(F.col(text).isNotNull()).limit(sample_docs).collect()]
-    counts = Counter(n for t in texts for n in pretokens(t))
+    counts = Counter(n for r in docs.select(text).where(F.col(text).isNotNull()).limit(sample_docs).toLocalIterator() for n in pretokens(r[0]))
     names = [n for n, _ in counts.most_common(keep)]
     if not names:
         return Lengths(np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -138,15 +140,17 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     docs = common.only(docs, id_col, text_col).toDF("doc_id", "text")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, "text", model_path))
 
+    key = ("token_counts", model_path, uuid.uuid4().hex)  # tier one is this call's own
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for batch in batches:
             if counter is None:
-                counter = _worker.setdefault((model_path, "counter"), TextCounter(model_path, frequent.value))
+                counter = common.kept(key, lambda: TextCounter(model_path, frequent.value))
             texts = batch.column(1)
             sizes = np.diff(common.text_buffer(texts)[1])
             totals = [counter.count(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return common.arrow(docs, count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", key)
