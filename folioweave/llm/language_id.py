@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary. The probability of a word is the sum over
 all its segmentations into pieces (a forward pass), and a text's log-probability is the sum over its words, since no
 piece crosses a blank. Piece probabilities are fitted by expectation-maximisation (forward and backward passes over all
-segmentations) on word counts of a bounded sample of labelled rows.
+segmentations) on the word counts of whole texts of a bounded sample of labelled rows. A forward pass keeps the last
+``longest piece`` positions only, scaled as it goes, so a word of any length is scored whole.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; null or unlisted labels teach nothing;
 with no labelled row at all everything is ``und``; ties go to the language first in alphabetical order; repeated rows
@@ -13,6 +14,7 @@ each give a row; other columns are ignored. Whole texts are scored.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,16 +26,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows sampled for each language, characters of each, word types kept, rounds of fitting, pseudo-count, cache entries.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TYPES, ROUNDS, PRIOR, CACHE = 600, 4000, 3000, 2, 0.1, 250_000
-#: Words in one forward pass.
-AT_ONCE = 20_000
-#: A word longer than this is scored in spans of this many characters, which bounds a forward pass.
-SPAN = 31
+#: Labelled rows sampled for each language, rounds of fitting, pseudo-count, words in a worker's cache.
+SAMPLE_ROWS, ROUNDS, PRIOR, CACHE = 600, 2, 0.1, 150_000
+#: Words in one forward pass, and the length above which a word is scored alone, isn't cached, and teaches nothing.
+AT_ONCE, LONG = 20_000, 256
+#: Words of a language are weighed by this in fitting for each of their characters, which leaves shares as they are.
+LIFT = 3.0
 #: Log-probability of a character that no piece holds; equal in all languages.
 UNKNOWN = -18.0
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_worker: dict = {}
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -97,39 +98,81 @@ class Scorer:
         self.pieces, self.p = Pieces(pieces), probabilities
         self.longest = max(map(len, pieces))
         self.cache: dict[str, int] = {}
-        self.known = np.zeros((CACHE, probabilities.shape[1]), np.float32)
+        self.known = np.zeros((CACHE, probabilities.shape[1]))
 
     def words(self, words: list[str]) -> np.ndarray:
-        """log P(word | language) for each word (of at most SPAN characters), every segmentation summed."""
+        """log P(word | language) for each word, every segmentation summed."""
         out = np.zeros((len(words), self.p.shape[1]))
         order = np.argsort([-len(w) for w in words], kind="stable")
-        for at in range(0, len(words), AT_ONCE):
-            rows = order[at : at + AT_ONCE]
+        alone = int(sum(len(w) > LONG for w in words))
+        for r in order[:alone].tolist():
+            out[r] = self.alone(words[r])
+        at = alone
+        while at < len(words):
+            rows = order[at : at + at_once(len(words[order[at]]))]
             out[rows] = self.longest_first(["▁" + words[r] for r in rows])
+            at += len(rows)
         return out
 
     def longest_first(self, words: list[str]) -> np.ndarray:
         """The same for words in order of length, longest first: at each position the words that reach it are a prefix."""
-        n, floor = len(words[0]), np.exp(UNKNOWN)
-        lengths = np.array([len(w) for w in words])
-        codes = np.frombuffer("".join(w.ljust(n, "\x00") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n).T.astype(np.uint64)
-        reach = np.searchsorted(-lengths, -np.arange(n + 1), "right")
-        forward = np.zeros((n + 1, len(words), self.p.shape[1]))
-        forward[0] = 1.0
-        hashes = np.zeros((n, len(words)), np.uint64)  # of the strings that start at i and end before j
+        n, floor, back = len(words[0]), np.exp(UNKNOWN), self.longest
+        codes, reach = code_points(words)
+        langs = self.p.shape[1]
+        ring = np.zeros((back + 1, len(words), langs))  # forward values of the last positions, position j at j % (back + 1)
+        ring[0] = 1.0
+        hashes = np.zeros((back, len(words)), np.uint64)  # of the strings that start at i and end before j, at i % back
+        logs, out = np.zeros((len(words), langs)), np.zeros((len(words), langs))
         for j in range(1, n + 1):
             m = reach[j]
-            here = forward[j, :m]
-            here += forward[j - 1, :m] * floor
-            for i in range(max(0, j - self.longest), j):
-                h = hashes[i, :m] = self.pieces.step(hashes[i, :m], codes[j - 1, :m])
+            here = ring[(j - 1) % (back + 1), :m] * floor
+            hashes[(j - 1) % back, :m] = 0
+            for i in range(max(0, j - back), j):
+                h = hashes[i % back, :m] = self.pieces.step(hashes[i % back, :m], codes[j - 1, :m])
                 hit, piece = self.pieces.find(h)
                 if len(hit):
-                    here[hit] += forward[i, hit] * self.p[piece]
-        return np.log(np.maximum(forward[lengths, np.arange(len(words))], 1e-300))
+                    here[hit] += ring[i % (back + 1), hit] * self.p[piece]
+            ring[j % (back + 1), :m] = here
+            done = reach[j + 1] if j < n else 0
+            out[done:m] = np.log(np.maximum(here[done:], 1e-300)) + logs[done:m]
+            if j % 8 == 0:
+                top = ring[:, :m].max(axis=0)
+                ring[:, :m] /= top
+                logs[:m] += np.log(top)
+        return out
+
+    def alone(self, word: str, chunk: int = 4096) -> list[float]:
+        """The same for one word of any length, with memory for a chunk of it."""
+        codes = np.frombuffer(("▁" + word).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        floor, back, langs = float(np.exp(UNKNOWN)), self.longest, range(self.p.shape[1])
+        past, logs = [[1.0] * len(langs)], [0.0] * len(langs)
+        for a in range(0, len(codes), chunk):
+            b, low = min(len(codes), a + chunk), max(0, a - back + 1)
+            ending: list[list[tuple[int, list[float]]]] = [[] for _ in range(b - a)]
+            h = np.zeros(b - low, np.uint64)
+            for size in range(1, min(back, b - low) + 1):
+                h = self.pieces.step(h[: b - low - size + 1], codes[low + size - 1 : b])
+                hit, piece = self.pieces.find(h)
+                late = hit + low + size > a
+                for end, row in zip((hit[late] + low + size - a - 1).tolist(), self.p[piece[late]].tolist(), strict=True):
+                    ending[end].append((size, row))
+            for pieces in ending:
+                here = [x * floor for x in past[-1]]
+                for size, row in pieces:
+                    before = past[-size]
+                    for x in langs:
+                        here[x] += before[x] * row[x]
+                past.append(here)
+                if len(past) >= back + 16:
+                    del past[:-back]
+                    top = [max(f[x] for f in past) for x in langs]
+                    past = [[f[x] / top[x] for x in langs] for f in past]
+                    logs = [y + float(np.log(t)) for y, t in zip(logs, top, strict=True)]
+        return [y + float(np.log(max(f, 1e-300))) for y, f in zip(logs, past[-1], strict=True)]
 
     def learn(self, words: set[str]) -> None:
         """Put words into the cache, which starts anew when it is full."""
+        words = {w for w in words if len(w) <= LONG}
         new = [w for w in words if w not in self.cache]
         if len(new) + len(self.cache) > CACHE:
             self.cache.clear()
@@ -141,67 +184,88 @@ class Scorer:
 
     def total(self, counts: Counter) -> np.ndarray:
         """The summed log-probabilities of counted words."""
-        if all(w in self.cache for w in counts):
-            index = np.fromiter(map(self.cache.__getitem__, counts), np.int64, len(counts))
-            return np.fromiter(counts.values(), float, len(counts)) @ self.known[index].astype(float)
-        words, out = list(counts), np.zeros(self.p.shape[1])  # more distinct words than the cache holds
+        index = list(map(self.cache.get, counts))
+        if None not in index:
+            return np.fromiter(counts.values(), float, len(counts)) @ self.known[index]
+        out = np.zeros(self.p.shape[1])
+        known = [(i, n) for i, n in zip(index, counts.values(), strict=True) if i is not None]
+        if known:
+            out += np.array([n for _, n in known], float) @ self.known[[i for i, _ in known]]
+        words = [w for w, i in zip(counts, index, strict=True) if i is None]  # too long, or more than the cache holds
         for i in range(0, len(words), AT_ONCE):
             part = words[i : i + AT_ONCE]
             out += np.array([counts[w] for w in part], float) @ self.words(part)
         return out
 
 
+def at_once(longest: int) -> int:
+    """Words of at most that many characters to take together."""
+    return min(AT_ONCE, max(1, 400_000 // (longest + 1)))
+
+
+def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters by position and word, for words in order of length, longest first; and how many words reach each position."""
+    n = len(words[0])
+    codes = np.frombuffer("".join(w.ljust(n, "\x00") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n).T.astype(np.uint64)
+    return codes, np.searchsorted(-np.array([len(w) for w in words]), -np.arange(n + 1), "right")
+
+
 def word_counts(text: str | None) -> Counter:
-    """Words of a text and their counts, a long word in spans; none if the text has no letter."""
+    """Words of a text and their counts; none if the text has no letter."""
     found = WORD.findall(text.lower()) if text else []
-    if not found or not any(map(str.isalpha, text)):
-        return Counter()
-    counts = Counter(found)
-    for w in [w for w in counts if len(w) > SPAN]:
-        n = counts.pop(w)
-        for i in range(0, len(w), SPAN):
-            counts[w[i : i + SPAN]] += n
-    return counts
+    return Counter(found) if found and any(map(str.isalpha, text)) else Counter()
+
+
+def expected(words: list[str], weights: np.ndarray, pieces: Pieces, lifted: np.ndarray, floor: float, back: int, counts: np.ndarray) -> None:
+    """Add to counts how often each piece is used in the words (longest first), all segmentations by their share."""
+    codes, reach = code_points(words)
+    n, rows = len(words[0]), np.arange(len(words))
+    lengths = np.array([len(w) for w in words])
+    forward = np.zeros((n + 1, len(words), lifted.shape[1]))
+    forward[0] = 1.0
+    hashes, arcs = np.zeros((n, len(words)), np.uint64), []
+    for j in range(1, n + 1):
+        m = reach[j]
+        here = forward[j, :m]
+        here += forward[j - 1, :m] * floor
+        for i in range(max(0, j - back), j):
+            h = hashes[i, :m] = pieces.step(hashes[i, :m], codes[j - 1, :m])
+            hit, piece = pieces.find(h)
+            if len(hit):
+                here[hit] += forward[i, hit] * lifted[piece]
+                arcs.append((i, j, hit, piece))
+    share = weights / np.maximum(forward[lengths, rows], 1e-300)
+    behind = np.zeros_like(forward)
+    behind[lengths, rows] = 1.0
+    at = len(arcs)
+    for j in range(n, 0, -1):
+        while at and arcs[at - 1][1] == j:
+            at -= 1
+            i, _, hit, piece = arcs[at]
+            used = lifted[piece] * behind[j, hit]
+            behind[i, hit] += used
+            used = used * share[hit] * forward[i, hit]
+            for x in range(used.shape[1]):
+                counts[:, x] += np.bincount(piece, used[:, x], len(counts))
+        behind[j - 1] += behind[j] * floor
 
 
 def fit(path: str, words: dict[str, Counter], rounds: int = ROUNDS, prior: float = PRIOR) -> tuple[list[str], dict[str, int], np.ndarray]:
     """Languages, pieces and the piece probabilities (piece x language) from counts of words by language."""
-    pieces = vocabulary(path)
-    langs = sorted(words)
-    longest = max(map(len, pieces))
-    table = np.full((len(pieces), len(langs)), 1.0 / len(pieces))
-    types = sorted({w for c in words.values() for w in c})
+    vocab = vocabulary(path)
+    langs, index, back = sorted(words), Pieces(vocab), max(map(len, vocab))
+    table = np.full((len(vocab), len(langs)), 1.0 / len(vocab))
+    types = sorted({w for c in words.values() for w in c if len(w) <= LONG}, key=lambda w: (-len(w), w))
     weights = np.array([[words[x].get(w, 0) for x in langs] for w in types], float).reshape(len(types), len(langs))
-    lattices = []
-    for w in types:
-        inner = ("▁" + w)[: SPAN + 1]
-        lattices.append((len(inner), [(i, j, k) for j in range(1, len(inner) + 1) for i in range(max(0, j - longest), j) if (k := pieces.get(inner[i:j])) is not None]))
-    floor = np.exp(UNKNOWN)
+    lift = np.exp(LIFT * np.array([len(p) for p in vocab]))[:, None]
     for _ in range(rounds):
-        counts = np.full_like(table, prior)
-        for (n, arcs), weight in zip(lattices, weights, strict=True):
-            forward, backward = np.zeros((n + 1, len(langs))), np.zeros((n + 1, len(langs)))
-            forward[0] = backward[n] = 1.0
-            at = 0
-            for j in range(1, n + 1):
-                forward[j] += forward[j - 1] * floor
-                while at < len(arcs) and arcs[at][1] == j:
-                    i, _, k = arcs[at]
-                    forward[j] += forward[i] * table[k]
-                    at += 1
-            by_start = sorted(arcs, key=lambda a: -a[0])
-            at = 0
-            for i in range(n - 1, -1, -1):
-                backward[i] += backward[i + 1] * floor
-                while at < len(by_start) and by_start[at][0] == i:
-                    _, j, k = by_start[at]
-                    backward[i] += table[k] * backward[j]
-                    at += 1
-            share = weight / np.maximum(forward[n], 1e-300)
-            for i, j, k in arcs:
-                counts[k] += share * forward[i] * table[k] * backward[j]
+        counts, at = np.full_like(table, prior), 0
+        while at < len(types):
+            upto = at + at_once(len(types[at]))
+            expected(["▁" + w for w in types[at:upto]], weights[at:upto], index, table * lift, float(np.exp(UNKNOWN + LIFT)), back, counts)
+            at = upto
         table = counts / counts.sum(axis=0)
-    return langs, pieces, table
+    return langs, vocab, table
 
 
 def held_out(doc_id):
@@ -210,7 +274,8 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, model_path: str, id_col: str, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], dict[str, int], np.ndarray]:
-    """Fit on at most sample_rows labelled rows of each language that aren't held out, chosen by a hash of their id."""
+    """Fit on the whole texts of at most sample_rows labelled rows of each language that aren't held out, chosen by a hash of
+    their id."""
     from pyspark.sql import Window
 
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -219,13 +284,18 @@ def train(docs: DataFrame, model_path: str, id_col: str, text_col: str, lang_col
     share = F.lit(1.0)
     for lang, n in counts.items():
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 3.0 * sample_rows / n))).otherwise(share)
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20)).select(id_col, F.substring(text_col, 1, SAMPLE_CHARS).alias("head"), lang_col)
-    chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_rows)
-    words: dict[str, Counter] = {lang: Counter() for lang in counts}
-    for row in chosen.select(lang_col, "head").collect():
-        words[row[0]].update(WORD.findall(row[1].lower()))
-    words = {lang: Counter(dict(c.most_common(SAMPLE_TYPES))) for lang, c in words.items() if c}
+    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col, F.xxhash64(text_col))
+    chosen = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20)).select(id_col, text_col, lang_col)
+    chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_rows).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = Counter((lang.as_py(), w) for lang, text in zip(batch.column(0), batch.column(1), strict=True) for w in WORD.findall(text.as_py().lower()))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
+
+    words: dict[str, Counter] = {}
+    for lang, word, n in common.arrow(chosen, tally, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+        words.setdefault(lang, Counter())[word] = n
     return fit(model_path, words) if words else ([], {}, np.zeros((0, 0)))
 
 
@@ -238,16 +308,14 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, int], np.ndarray]
     common.tune(docs.sparkSession)
     docs = common.only(docs, id_col, text_col).toDF("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    key = ("language_id", uuid.uuid4().hex)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:
             langs, pieces, table = shared.value
             if scorer is None and langs:
-                key = hash((tuple(langs), table.tobytes()[:4096], float(table[:, 0].max())))
-                if _worker.get("key") != key:
-                    _worker.update(key=key, scorer=Scorer(pieces, table))
-                scorer = _worker["scorer"]
+                scorer = common.kept(key, lambda: Scorer(pieces, table))
             best, scores, sizes = [], [], []
             for a, b in common.slices(common.text_buffer(batch.column(1))[1], 4 << 20):
                 counted = [word_counts(t.as_py()) for t in batch.column(1).slice(a, b - a)]
@@ -266,7 +334,7 @@ def predict(docs: DataFrame, model: tuple[list[str], dict[str, int], np.ndarray]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], names=["doc_id", "lang_pred", "score", "n_words"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(score, f"doc_id {kind}, lang_pred string, score double, n_words bigint")
+    return common.arrow(docs, score, f"doc_id {kind}, lang_pred string, score double, n_words bigint", key)
 
 
 def language_id(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
