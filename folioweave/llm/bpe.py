@@ -1,11 +1,11 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
-A pre-token's bytes are read one by one. For each prefix the transducer knows the last token of that prefix's encoding:
-the longest vocabulary entry ending there that may stand behind the token before it (two tokens may stand side by side
-when the merge list, run over their bytes, leaves the seam between them). Only the last ``longest token`` prefixes can
-still be continued, so a token is emitted once all of those go back through it, and memory stays constant however long a
-pre-token is. ``sufficient_lookahead`` bounds how far that can be. Decoding maps ids to bytes and bytes to text with an
-incremental UTF-8 state machine.
+A pre-token's bytes are read from left to right by an automaton over the vocabulary, which names the entries that end at each
+byte. For each prefix the transducer knows the last token of that prefix's encoding: the longest entry ending there that may
+stand behind the token before it (two tokens may stand side by side when the merge list, run over their bytes, leaves the
+seam between them). ``lookahead`` is computed from the merge list: how many bytes behind a token can decide whether it stays.
+A token that ends that far back is stable and is emitted, so memory stays constant however long a pre-token is. Decoding maps
+ids to bytes and bytes to text with an incremental UTF-8 state machine.
 
 Defined results: null text is empty (no ids, empty decoded text); the special string inside a text is its own id, as in
 the library; repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
@@ -13,6 +13,7 @@ the library; repeated rows each give a row; an empty table gives an empty result
 
 from __future__ import annotations
 
+import array
 import codecs
 import hashlib
 import json
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries of a worker's caches of pre-tokens and of blank-separated chunks, and the longest of either that is kept.
-CACHE, LONGEST_CACHED = 250_000, 64
+#: Entries of each of the two generations of a worker's cache of chunks (one blank-separated piece of text each), the longest
+#: chunk that is kept, seams known, and the bytes of a pre-token and characters of a text that are taken at once.
+CACHE, LONGEST_CACHED, SEAMS, AT_ONCE, WINDOW = 200_000, 64, 400_000, 4096, 1 << 16
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-_DOUBLE_BLANK = re.compile(r"\s\s|[ \n]$|^[ \n]|[\x00\x1c-\x1f]")
-_worker: dict = {}
+_DOUBLE_BLANK = re.compile(r"\s\s|[\x00\x1c-\x1f]")
+_SEAM = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_characters() -> dict[str, int]:
@@ -84,10 +86,20 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.seams: dict[int, bool] = {}  # by both tokens in one number
+        self.lookahead = self.sufficient_lookahead()
 
     def sufficient_lookahead(self) -> int:
-        """Bytes behind which no token changes: each merge rule can carry an influence over one token at most."""
-        return len(self.merged) * self.longest
+        """Bytes behind a token that can decide whether it stays.
+
+        In the order of the merges, reach[t] is how far from its start a token t depends on what follows: a merge (x, y) takes x
+        away, or makes x + y, only if y is there, which is known within |x| and the larger of |y| and y's own reach so far."""
+        size = {t: len(self.bytes[t]) for t in self.rank}
+        reach = dict(size)
+        for (x, y), z in self.merged.items():
+            far = size[x] + max(size[y], reach[y])
+            reach[x] = max(reach[x], far)
+            reach[z] = max(reach[z], far)
+        return max((far - size[t] for t, far in reach.items()), default=0)
 
     def seam(self, a: int, b: int) -> bool:
         """Whether the merges leave the seam between tokens a and b: undo merges at the seam, latest first, and see
@@ -95,7 +107,7 @@ class Vocabulary:
         known = self.seams.get(a << 32 | b)
         if known is None:
             known = self._seam(a, b)
-            if len(self.seams) > CACHE:
+            if len(self.seams) > SEAMS:
                 self.seams.clear()
             self.seams[a << 32 | b] = known
         return known
@@ -120,151 +132,145 @@ class Encoder:
     """The transducer for one pre-token: feed bytes, take stable tokens, then finish."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.tail = b""  # the last bytes, up to the longest token
-        self.n = 0
-        self.done = 0  # bytes whose tokens are out
-        self.back: dict[int, tuple[int, int]] = {}  # end -> (start, token) not yet emitted
+        self.v, self.matches = vocabulary, None
+        self.done, self.n = 0, 0  # bytes whose tokens are out, bytes read
+        self.tokens, self.starts = [-1], [0]  # of the prefixes that end at done, done + 1, ...
 
     def feed(self, data: bytes) -> list[int]:
-        v, out = self.v, []
-        ids, seam, longest = v.candidates, v.seam, v.longest
-        for byte in data:
-            self.n += 1
-            self.tail = (self.tail + bytes((byte,)))[-longest:]
-            for size in range(len(self.tail), 0, -1):
-                token = ids.get(self.tail[-size:])
-                if token is None:
+        v, tokens, starts, done = self.v, self.tokens, self.starts, self.done
+        text = data.decode("latin-1")
+        if self.matches is None:
+            self.matches = v.automaton.iter(text)
+        else:
+            self.matches.set(text, False)  # the automaton goes on where it stood
+        tokens += [-1] * len(data)
+        starts += [0] * len(data)
+        seams, seam = v.seams, v.seam
+        first = 1 - done  # places count from the pre-token's start
+        for end, (size, token) in self.matches:
+            end += first
+            if tokens[end] >= 0:
+                continue
+            start = end - size
+            if start + done:
+                before = tokens[start]
+                known = seams.get(before << 32 | token)
+                if known is None:
+                    known = seam(before, token)
+                if not known:
                     continue
-                start = self.n - size
-                before = self.back.get(start)
-                if start == 0 or before is not None and seam(before[1], token):
-                    self.back[self.n] = (start, token)
-                    break
-            if self.n - self.done > 2 * longest and self.n % longest == 0:
-                out += self._stable()
-        return out
-
-    def _stable(self) -> list[int]:
-        """Tokens on which every prefix that can still be continued agrees."""
-        paths = None
-        low = max(self.done, self.n - self.v.longest)
-        for end in range(low, self.n + 1):
-            path, at = set(), end
-            while at > self.done:
-                path.add(at)
-                at = self.back[at][0]
-            paths = path if paths is None else paths & path
-            if not paths:
-                return []
-        upto = max(paths)
-        out, at = [], upto
-        while at > self.done:
-            start, token = self.back[at]
-            out.append(token)
-            at = start
-        kept = self.back[upto]
-        for end in [e for e in self.back if e <= upto]:
-            del self.back[end]
-        self.back[upto] = kept
-        self.done = upto
+            tokens[end], starts[end] = token, start
+        self.n += len(data)
+        return self.emit(self.n - v.lookahead - done) if self.n - done > v.lookahead + AT_ONCE else []
+
+    def emit(self, upto: int) -> list[int]:
+        """The tokens that end at most ``upto`` bytes behind those already out; what is known of them is dropped."""
+        tokens, starts = self.tokens, self.starts
+        at, out = len(tokens) - 1, []
+        while at > upto:
+            at = starts[at]
+        cut = at
+        while at:
+            out.append(tokens[at])
+            at = starts[at]
+        # Entries reach back one longest token at most; a prefix that doesn't pass through the cut can't be gone on with.
+        self.tokens = tokens[cut:]
+        self.starts = [s - cut for s in starts[cut:]]
+        self.done += cut
         return out[::-1]
 
     def finish(self) -> list[int]:
-        out, at = [], self.n
-        while at > self.done:
-            start, token = self.back[at]
-            out.append(token)
-            at = start
-        return out[::-1]
+        return self.emit(len(self.tokens) - 1)
 
 
-def encode_short(v: Vocabulary, word: bytes) -> list[int]:
-    """The transducer over one short pre-token, without the windows it doesn't need: an automaton over the vocabulary gives
-    the entries that end at each byte, longest first."""
+def encode_word(v: Vocabulary, word: bytes) -> list[int]:
+    """The tokens of one pre-token."""
     if (token := v.candidates.get(word)) is not None:
         return [token]
-    n, seams = len(word), v.seams
-    tokens, starts = [-1] * (n + 1), [0] * (n + 1)
-    for end, (size, token) in v.automaton.iter(word.decode("latin-1")):
-        end += 1
-        if tokens[end] < 0:
-            start = end - size
-            if start:
-                before = tokens[start]
-                known = seams.get(before << 32 | token)
-                if known is None:
-                    known = v.seam(before, token)
-                if not known:
-                    continue
-            tokens[end], starts[end] = token, start
+    encoder = Encoder(v)
+    if len(word) <= AT_ONCE:
+        encoder.feed(word)
+        return encoder.finish()
     out = []
-    while n:
-        out.append(tokens[n])
-        n = starts[n]
-    return out[::-1]
+    for a in range(0, len(word), AT_ONCE):
+        out += encoder.feed(word[a : a + AT_ONCE])
+    return out + encoder.finish()
 
 
 class Codec:
-    """Encoding and decoding of texts in one worker, with bounded caches."""
+    """Encoding and decoding of texts in one worker, with a bounded cache of two generations."""
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
-        self.tokens: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[str, bytes]] = {}
-
-    def pretoken(self, word: str) -> list[int]:
-        if len(word) > LONGEST_CACHED:
-            encoder = Encoder(self.v)
-            return encoder.feed(word.encode()) + encoder.finish()
-        got = self.tokens.get(word)
-        if got is None:
-            if len(self.tokens) > CACHE:
-                self.tokens.clear()
-            got = self.tokens[word] = encode_short(self.v, word.encode())
-        return got
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.names = {i: b"%d" % i for i in self.v.bytes}
 
-    def chunk(self, chunk: str) -> tuple[str, bytes]:
-        """Ids of a chunk joined by commas, and the bytes those ids decode to."""
-        got = self.chunks.get(chunk)
+    def learn(self, chunk: str) -> bytes:
+        """Ids of a chunk, four bytes each: from the older generation, else made of its pre-tokens, which may be known."""
+        got = self.old.get(chunk)
         if got is None:
-            ids = [i for word in PRETOKEN.findall(chunk) for i in self.pretoken(word)]
-            got = (",".join(map(str, ids)), self.decode_bytes(ids))
-            if len(chunk) <= LONGEST_CACHED:
-                if len(self.chunks) > CACHE:
-                    self.chunks.clear()
-                self.chunks[chunk] = got
+            words = PRETOKEN.findall(chunk)
+            if len(words) == 1:
+                got = array.array("I", encode_word(self.v, chunk.encode())).tobytes()
+            else:
+                got = b"".join([self.new.get(w) or self.learn(w) for w in words])
+        if len(chunk) <= LONGEST_CACHED:
+            if len(self.new) >= CACHE:
+                self.old, self.new = self.new, {}
+            self.new[chunk] = got
         return got
 
-    def parts(self, text: str) -> list[tuple[str, bytes]]:
-        """Chunks of text whose seams are seams of pre-tokens too: before a blank between two words, round a newline.
-        Where white space is not single, whole lines of pre-tokens are one chunk each."""
-        if not text:
-            return []
-        if _DOUBLE_BLANK.search(text):
-            names = PRETOKEN.findall(text)
-        else:
-            names = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-        known = list(map(self.chunks.get, names))
-        if None in known:
-            known = [x or self.chunk(n) for n, x in zip(names, known, strict=True)]
-        return known
-
-    def encode(self, text: str) -> tuple[str, list[bytes]]:
-        """All ids joined by commas, and the byte pieces they decode to."""
-        ids, pieces = [], []
+    def windows(self, text: str) -> Iterator[str]:
+        """Text in pieces of about WINDOW characters, cut at single blanks between words only."""
+        at = 0
+        while len(text) - at > WINDOW and (found := _SEAM.search(text, at + WINDOW)):
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:] if at else text
+
+    def encode(self, text: str) -> Iterator[list[int]]:
+        """Ids, a window of the text at a time. A window's chunks have seams that are seams of pre-tokens too: before a blank
+        between two words, round a newline. Where white space is not single, the pre-tokens themselves are the chunks."""
         for part in self.v.special_split.split(text) if self.v.special_split else (text,):
             if part in self.v.special:
-                ids.append(str(self.v.special[part]))
-                pieces.append(self.decode_bytes([self.v.special[part]]))
-            else:
-                found = self.parts(part)
-                ids += [x[0] for x in found if x[0]]
-                pieces += [x[1] for x in found]
-        return ",".join(ids), pieces
+                yield [self.v.special[part]]
+                continue
+            for window in self.windows(part):
+                if not window:
+                    continue
+                if _DOUBLE_BLANK.search(window):
+                    names = PRETOKEN.findall(window)
+                else:
+                    names = window.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+                known = list(map(self.new.get, names))
+                if None in known:
+                    known = [self.learn(n) if x is None else x for n, x in zip(names, known, strict=True)]
+                yield array.array("I", b"".join(known)).tolist()
+
+    def decode(self, ids: Iterator[list[int]]) -> Iterator[str]:
+        return decode(b"".join(map(self.v.bytes.__getitem__, some)) for some in ids)
+
+    def digest(self, text: str, with_ids: bool = False) -> tuple[int, str, str, list[int], str]:
+        """Number of ids, digests of the ids and of the decoded text; with_ids also both themselves."""
+        id_sum, text_sum, n, kept, out = hashlib.sha256(), hashlib.sha256(), 0, [], []
+        name = self.names.__getitem__
+
+        def pass_on() -> Iterator[list[int]]:
+            nonlocal n
+            for ids in self.encode(text):
+                if ids:
+                    id_sum.update(b"," * (n > 0) + b",".join(map(name, ids)))
+                    n += len(ids)
+                    if with_ids:
+                        kept.extend(ids)
+                    yield ids
 
-    def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.v.bytes.__getitem__, ids))
+        for some in self.decode(pass_on()):
+            text_sum.update(some.encode())
+            if with_ids:
+                out.append(some)
+        return n, id_sum.hexdigest(), text_sum.hexdigest(), kept, "".join(out)
 
 
 def decode(pieces: Iterator[bytes]) -> Iterator[str]:
@@ -278,9 +284,7 @@ def decode(pieces: Iterator[bytes]) -> Iterator[str]:
 
 
 def codec(path: str) -> Codec:
-    if path not in _worker:
-        _worker[path] = Codec(path)
-    return _worker[path]
+    return common.kept(("bpe", path), lambda: Codec(path))
 
 
 def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -293,26 +297,13 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            counts, id_sums, text_sums, ids, texts = [], [], [], [], []
-            for text in batch.column(1):
-                joined, pieces = own.encode(text.as_py() or "")
-                total, out = hashlib.sha256(), []
-                size = 4096
-                for some in decode(b"".join(pieces[i : i + size]) for i in range(0, len(pieces), size)):
-                    total.update(some.encode("utf-8"))
-                    if with_ids:
-                        out.append(some)
-                counts.append(joined.count(",") + 1 if joined else 0)
-                id_sums.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_sums.append(total.hexdigest())
-                if with_ids:
-                    ids.append([int(i) for i in joined.split(",")] if joined else [])
-                    texts.append("".join(out))
+            found = [own.digest(text.as_py() or "", with_ids) for text in batch.column(1)]
+            counts, id_sums, text_sums, ids, texts = zip(*found, strict=True) if found else ((),) * 5
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
             columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] * with_ids
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
 
-    return docs.mapInArrow(run, schema)
+    return common.arrow(docs, run, schema, ("bpe", path))
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:

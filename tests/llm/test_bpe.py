@@ -28,19 +28,37 @@ def test_equal_to_the_library(spark):
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
-def test_stream_is_stable_and_bounded():
+def test_stream_is_stable_and_bounded(monkeypatch):
     v = bpe.codec(PATH).v
     library = Tokenizer.from_file(PATH)
     rng = random.Random(1)
     for letters in ("ab", "etaoinshr", "-="):
         word = "".join(rng.choice(letters) for _ in range(6000))
-        encoder, out, most = bpe.Encoder(v), [], 0
-        for i in range(0, len(word), 7):
-            out += encoder.feed(word[i : i + 7].encode())
-            most = max(most, len(encoder.back))
-        out += encoder.finish()
-        assert out == library.encode(word).ids
-        assert most < 5 * v.longest < v.sufficient_lookahead()
+        for at_once in (1, 64, 4096):
+            monkeypatch.setattr(bpe, "AT_ONCE", at_once)
+            encoder, out, most = bpe.Encoder(v), [], 0
+            for i in range(0, len(word), 7):
+                out += encoder.feed(word[i : i + 7].encode())
+                most = max(most, len(encoder.tokens))
+            out += encoder.finish()
+            assert out == library.encode(word).ids
+            assert most <= v.lookahead + at_once + 8 + v.longest  # constant memory, whatever the word's length
+
+
+def test_lookahead_is_that_of_the_merges():
+    v = bpe.Vocabulary.__new__(bpe.Vocabulary)
+    # bytes a b c; merges (b, c) then (a, b): whether ab is made is known one byte behind it, and no later.
+    v.rank, v.bytes, v.merged = {0: 0, 1: 1, 2: 2, 3: 256, 4: 257}, {0: b"a", 1: b"b", 2: b"c", 3: b"bc", 4: b"ab"}, {(1, 2): 3, (0, 1): 4}
+    assert v.sufficient_lookahead() == 2  # a waits for b, which waits for c
+
+
+def test_long_text_without_blanks(spark):
+    rng = random.Random(8)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+    text = word + " and " + "日本語" * 30_000
+    ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    got = bpe.bpe(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).first()
+    assert (got.n_tokens, got.ids_sha256, got.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
 def test_decode_machine():
