@@ -12,8 +12,10 @@ whole bytes, smallest document) to the anchor's bucket, equal runs once; there t
 owns them, and anchors with several different runs of several documents are contested; (3) blocks send the bytes of
 contested runs to the anchor's bucket, where the suffix array of their anchors is built and scanned, and each window's
 smallest document found; (4) blocks learn which windows they don't own and drop the bytes those cover. Only owners are told
-apart, so a run that a third of all documents share is one row a block. Equality of whole runs rests on 48 bits of
-hash between runs whose anchors have equal 57-bit hashes; contested runs are compared as bytes.
+apart, so a run that a third of all documents share is one row a block. Equality of whole runs rests on 64 bits of
+hash between runs whose anchors have equal 57-bit hashes; contested runs are compared as bytes. An anchor with more than ``HOT``
+contested runs is split by what stands beside it: its windows that reach at least half of their other bytes to the left
+meet by those left bytes, the others by as many right ones, so a phrase with many neighbours isn't one task's work.
 
 Defined results: null text is empty; texts shorter than ``span`` lose nothing; rows with equal doc_id don't take from each
 other; rows with a null id take no part and lose nothing; an empty table gives an empty result; further columns pass
@@ -36,6 +38,8 @@ from pyspark.sql import types as T
 from . import common
 
 SPAN, GRAM = 50, 20
+#: Contested runs of an anchor above which its windows are dealt by their other bytes, and windows hashed at a time.
+HOT, SEGMENT = 2048, 1 << 18
 #: Text bytes of a block and rows of a block at most.
 BLOCK, BLOCK_ROWS = 2 << 20, 20_000
 _VALUES = common.byte_values(11)
@@ -117,15 +121,18 @@ class Runs:
             return
         sums = common.prefix_sums(_VALUES[data])
         _, down = common.powers(n + 1)
-        hashes = common.mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
         bits = np.uint64((1 << 32) - 1)  # the same for every block: which gram is least must not depend on its neighbours
-        least = (hashes & ~bits) | np.arange(len(hashes), dtype=np.uint64)
-        have = 1
-        while have < w:
-            step = min(have, w - have)
-            least = np.minimum(least[: len(least) - step], least[step:])
-            have += step
-        at = (least & bits).astype(np.int64)
+        at = np.empty(n - span + 1, np.int64)
+        for a in range(0, len(at), SEGMENT):
+            b = min(len(at), a + SEGMENT)
+            hashes = self.gram_hashes(sums, down, a, b + w - 1, gram)
+            least = (hashes & ~bits) | np.arange(len(hashes), dtype=np.uint64)
+            have = 1
+            while have < w:
+                step = min(have, w - have)
+                least = np.minimum(least[: len(least) - step], least[step:])
+                have += step
+            at[a:b] = (least & bits).astype(np.int64) + a
         edge = np.zeros(n + 1, np.int32)  # windows that would cross a row's end
         starts, ends = offsets[:-1], offsets[1:]
         np.add.at(edge, np.maximum(starts, ends - span + 1), 1)
@@ -136,7 +143,7 @@ class Runs:
         stops = inside & (np.r_[change[1:], True] | np.r_[~inside[1:], True])
         self.first, self.last = np.flatnonzero(begins), np.flatnonzero(stops)
         self.anchor_at = at[self.first]
-        self.anchor = hashes[self.anchor_at]
+        self.anchor = common.mix((sums[self.anchor_at + gram] - sums[self.anchor_at]) * down[self.anchor_at])
         self.whole = common.range_hashes(sums, self.first, self.last + span)
         self.row = np.searchsorted(offsets, self.first, "right") - 1
         self.doc = ids[self.row]
@@ -145,6 +152,10 @@ class Runs:
         self.stand = np.empty(len(order), np.int64)
         self.stand[order] = order[new][np.cumsum(new) - 1]
 
+    @staticmethod
+    def gram_hashes(sums: np.ndarray, down: np.ndarray, a: int, b: int, gram: int) -> np.ndarray:
+        return common.mix((sums[a + gram : b + gram] - sums[a:b]) * down[a:b])
+
     def keepers(self) -> np.ndarray:
         """Runs that stand for their equals."""
         return np.flatnonzero(self.stand == np.arange(len(self.stand)))
@@ -155,12 +166,13 @@ class Runs:
         gone = np.zeros(len(self.stand), bool)
         gone[lost] = True
         gone = gone[self.stand] | (self.doc > self.doc[self.stand])
-        edge = np.zeros(len(self.data) + 1, np.int64)
+        edge = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(edge, self.first[gone], 1)
         np.add.at(edge, self.last[gone] + self.span, -1)
         if len(masks[0]):
             order = np.argsort(masks[0])
-            known, bits = masks[0][order], masks[1][order]
+            known, heads = np.unique(masks[0][order], return_index=True)
+            bits = np.bitwise_or.reduceat(masks[1][order], heads)  # a split anchor's run has a mask from each side
             here = np.minimum(np.searchsorted(known, self.stand), len(known) - 1)
             some = np.flatnonzero((known[here] == self.stand) & ~gone)
             for o in range(int(self.span)):
@@ -168,7 +180,7 @@ class Runs:
                 start = self.anchor_at[hit] - o
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + self.span, -1)
-        return np.cumsum(edge)[:-1] > 0
+        return np.cumsum(edge, dtype=np.int32)[:-1] > 0
 
 
 def pack_planes(values: np.ndarray, keep: int = 8) -> bytes:
@@ -219,7 +231,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, BLOCK_SCHEMA)
+    return common.arrow(docs, run, BLOCK_SCHEMA)
 
 
 def open_block(ids: bytes, sizes: bytes, payload: bytes, span: int, gram: int) -> tuple[Runs, np.ndarray]:
@@ -243,7 +255,7 @@ def open_block(ids: bytes, sizes: bytes, payload: bytes, span: int, gram: int) -
 
 
 def anchors(stored: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
-    """bucket, block, n, blob: anchor (48 bits beside the bucket), whole (48 bits), document and number of a block's runs."""
+    """bucket, block, n, blob: anchor (48 bits beside the bucket), whole, document and number of a block's runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,10 +267,10 @@ def anchors(stored: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
                 rows = []
                 for b, (anchor, whole, doc, number) in common.by_bucket((runs.anchor[keep] % np.uint64(buckets)).astype(np.int64), [runs.anchor[keep] // np.uint64(buckets), runs.whole[keep], runs.doc[keep], keep]):
                     steps = np.diff(number, prepend=0)
-                    rows.append((b, len(number), pack_planes(anchor, 6) + pack_planes(whole, 6) + pack_planes(doc) + pack_planes(steps, 4)))
+                    rows.append((b, len(number), pack_planes(anchor, 6) + pack_planes(whole) + pack_planes(doc) + pack_planes(steps, 4)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "block", "n", "blob"])
 
-    return stored.mapInArrow(run, "bucket bigint, block bigint, n bigint, blob binary")
+    return common.arrow(stored, run, "bucket bigint, block bigint, n bigint, blob binary")
 
 
 def by_group(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[object, list[tuple]]]:
@@ -275,16 +287,17 @@ def by_group(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[
         yield at, rows
 
 
-def owners(sent: DataFrame, partitions: int) -> DataFrame:
-    """block, kind, blob: numbers of runs that another block owns (kind 0), and of contested ones (kind 1)."""
+def owners(sent: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
+    """block, kind, blob: numbers of runs that another block owns (kind 0), and of contested ones (kind 1; 3 for an anchor
+    with more than ``hot`` of them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_group(batches):
             parts = []
             for _, block, n, blob in rows:
-                cuts = np.cumsum([0, 6 * n, 6 * n, 8 * n, 4 * n])
+                cuts = np.cumsum([0, 6 * n, 8 * n, 8 * n, 4 * n])
                 a, w, d, s = (blob[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True))
-                parts.append((unpack_planes(a, n, 6), unpack_planes(w, n, 6), unpack_planes(d, n), np.cumsum(unpack_planes(s, n, 4)), np.full(n, block)))
+                parts.append((unpack_planes(a, n, 6), unpack_planes(w, n), unpack_planes(d, n), np.cumsum(unpack_planes(s, n, 4)), np.full(n, block)))
             anchor, whole, doc, number, block = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((doc, whole, anchor))
             anchor, whole, doc, number, block = (x[order] for x in (anchor, whole, doc, number, block))
@@ -299,13 +312,14 @@ def owners(sent: DataFrame, partitions: int) -> DataFrame:
             np.maximum.at(high, of, doc[heads])
             contested = heads[(low != high)[of]]
             # Equal ids may hold one run in several blocks; each of them is told what the first is told.
-            same = np.flatnonzero(~lost & np.isin(run_of, run_of[contested]))
-            for kind, which in ((0, np.flatnonzero(lost)), (1, same)):
+            same = ~lost & np.isin(run_of, run_of[contested])
+            many = (np.bincount(of) > hot)[np.cumsum(new_anchor) - 1]
+            for kind, which in ((0, np.flatnonzero(lost)), (1, np.flatnonzero(same & ~many)), (3, np.flatnonzero(same & many))):
                 out = [(b, pack_planes(x[0], 4)) for b, x in common.by_bucket(block[which], [number[which]])]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([kind] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "kind", "blob"])
 
-    return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block bigint, kind int, blob binary")
+    return common.arrow(common.dealt(sent, buckets), run, "block bigint, kind int, blob binary")
 
 
 def beside(stored: DataFrame, told: DataFrame, partitions: int) -> DataFrame:
@@ -316,14 +330,22 @@ def beside(stored: DataFrame, told: DataFrame, partitions: int) -> DataFrame:
 
 
 def contested_runs(stored: DataFrame, told: DataFrame, buckets: int, partitions: int, span: int, gram: int) -> DataFrame:
-    """bucket, block, n, blob: the bytes of contested runs, before and from their anchors."""
-    left_width = span - gram
+    """bucket, block, n, blob: the bytes of contested runs, before and from their anchors, with the side they stand for: 0 for all
+    windows, 1 for those with at least half of their other bytes on the left, 2 for the rest."""
+    left_width, half = span - gram, (span - gram) // 2
+    up = common.powers(span)[0]
+
+    def context(text: np.ndarray) -> np.ndarray:
+        return (text.astype(np.uint64) * up[: text.shape[1]]).sum(axis=1, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in by_group(batches):
             if rows[-1][1] != 9 or len(rows) == 1:
                 continue
-            numbers = np.sort(np.concatenate([unpack_planes(r[4], len(r[4]) // 4, 4) for r in rows[:-1]]))
+            told = [(unpack_planes(r[4], len(r[4]) // 4, 4), r[1]) for r in rows[:-1]]
+            numbers, kinds = np.concatenate([x for x, _ in told]), np.concatenate([np.full(len(x), k) for x, k in told])
+            order = np.argsort(numbers, kind="stable")
+            numbers, kinds = numbers[order], kinds[order]
             runs, _ = open_block(rows[-1][2], rows[-1][3], rows[-1][4], span, gram)
             anchor, at, first, last = (x[numbers] for x in (runs.anchor, runs.anchor_at, runs.first, runs.last))
             left, right = at - first, last + span - at
@@ -332,12 +354,17 @@ def contested_runs(stored: DataFrame, told: DataFrame, buckets: int, partitions:
             wide[:, :left_width][np.arange(left_width)[None] < (left_width - left)[:, None]] = 0
             wide[:, left_width:][np.arange(span)[None] >= right[:, None]] = 0
             out = []
-            for b, (a, d, s, lo, hi, text) in common.by_bucket((anchor % np.uint64(buckets)).astype(np.int64), [anchor, runs.doc[numbers], numbers, left.astype(np.uint8), right.astype(np.uint8), wide]):
-                blob = pack_planes(a) + pack_planes(d) + pack_planes(s, 4) + lo.tobytes() + hi.tobytes() + text.tobytes()
-                out.append((b, len(a), zstandard.ZstdCompressor(level=1).compress(blob)))
+            split = kinds == 3
+            one, two = np.flatnonzero(split & (left >= half)), np.flatnonzero(split & (at - last < half))
+            rows_of = np.r_[np.flatnonzero(~split), one, two]
+            side = np.repeat(np.array([0, 1, 2], np.uint8), [int((~split).sum()), len(one), len(two)])
+            key = np.r_[anchor[~split], common.mix(anchor[one] ^ context(wide[one, left_width - half : left_width])), common.mix(~anchor[two] ^ context(wide[two, left_width + gram : left_width + gram + half]))]
+            for b, (i, x) in common.by_bucket((key % np.uint64(buckets)).astype(np.int64), [rows_of, side]):
+                blob = x.tobytes() + pack_planes(runs.doc[numbers[i]]) + pack_planes(numbers[i], 4) + left[i].astype(np.uint8).tobytes() + right[i].astype(np.uint8).tobytes() + wide[i].tobytes()
+                out.append((b, len(i), zstandard.ZstdCompressor(level=1).compress(blob)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "block", "n", "blob"])
 
-    return beside(stored, told.where("kind = 1"), partitions).mapInArrow(run, "bucket bigint, block bigint, n bigint, blob binary")
+    return common.arrow(beside(stored, told.where("kind in (1, 3)"), partitions), run, "bucket bigint, block bigint, n bigint, blob binary")
 
 
 def common_prefixes(rows: np.ndarray) -> np.ndarray:
@@ -350,8 +377,8 @@ def common_prefixes(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_owners(doc: np.ndarray, left: np.ndarray, right: np.ndarray, wide: np.ndarray, span: int, gram: int) -> np.ndarray:
-    """For each run a mask of its windows (bit: bytes before the anchor) that a smaller document also has."""
+def window_owners(doc: np.ndarray, left: np.ndarray, right: np.ndarray, wide: np.ndarray, span: int, gram: int, offsets: range | None = None) -> np.ndarray:
+    """For each run a mask of its windows (bit: bytes before the anchor, of ``offsets`` if given) that a smaller document also has."""
     width = span - gram
     n = len(doc)
     after = np.ascontiguousarray(wide[:, width:])
@@ -365,7 +392,7 @@ def window_owners(doc: np.ndarray, left: np.ndarray, right: np.ndarray, wide: np
     place[by_left] = np.arange(n)
     tree = np.array(list(intervals(lcp, gram)), np.int64).reshape(-1, 4)
     mask = np.zeros(n, np.uint64)
-    for o in range(width + 1):
+    for o in offsets if offsets is not None else range(width + 1):
         depth = span - o
         own = tree[(tree[:, 0] >= depth) & (tree[:, 3] < depth)]  # the intervals that are whole at this depth
         if not len(own):
@@ -386,29 +413,34 @@ def window_owners(doc: np.ndarray, left: np.ndarray, right: np.ndarray, wide: np
     return mask
 
 
-def window_masks(sent: DataFrame, partitions: int, span: int, gram: int) -> DataFrame:
+def window_masks(sent: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
     """block, kind 2, blob: for contested runs the windows that a smaller document owns."""
-    wide_n = 2 * span - gram
+    wide_n, half = 2 * span - gram, (span - gram) // 2
+    sides = (None, range(half, span - gram + 1), range(half))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_group(batches):
             parts = []
             for _, block, n, blob in rows:
                 blob = zstandard.ZstdDecompressor().decompress(blob)
-                cuts = np.cumsum([0, 8 * n, 8 * n, 4 * n, n, n, wide_n * n])
-                _, d, s, lo, hi, text = (blob[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True))
-                parts.append((unpack_planes(d, n), unpack_planes(s, n, 4), np.frombuffer(lo, np.uint8).astype(np.int64), np.frombuffer(hi, np.uint8).astype(np.int64), np.frombuffer(text, np.uint8).reshape(n, wide_n), np.full(n, block)))
-            doc, number, left, right, wide, block = (np.concatenate(x) for x in zip(*parts, strict=True))
-            mask = window_owners(doc, left, right, wide, span, gram)
+                cuts = np.cumsum([0, n, 8 * n, 4 * n, n, n, wide_n * n])
+                x, d, s, lo, hi, text = (blob[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True))
+                parts.append((np.frombuffer(x, np.uint8), unpack_planes(d, n), unpack_planes(s, n, 4), np.frombuffer(lo, np.uint8).astype(np.int64), np.frombuffer(hi, np.uint8).astype(np.int64), np.frombuffer(text, np.uint8).reshape(n, wide_n), np.full(n, block)))
+            side, doc, number, left, right, wide, block = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mask = np.zeros(len(doc), np.uint64)
+            for x, offsets in enumerate(sides):
+                own = np.flatnonzero(side == x)
+                if len(own):
+                    mask[own] = window_owners(doc[own], left[own], right[own], wide[own], span, gram, offsets)
             some = np.flatnonzero(mask)
             out = [(b, pack_planes(x[0], 4) + pack_planes(x[1])) for b, x in common.by_bucket(block[some], [number[some], mask[some]])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([2] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "kind", "blob"])
 
-    return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block bigint, kind int, blob binary")
+    return common.arrow(common.dealt(sent, buckets), run, "block bigint, kind int, blob binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """All columns of docs (without with_text: the id alone), with n_bytes, n_removed, n_spans, kept_sha256 beside them and,
     with with_text, the text reduced to its kept bytes (a character that loses some of its bytes goes whole)."""
     spark = docs.sparkSession
@@ -418,9 +450,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = common.partitions_for(docs)
     buckets = 2 * parts
     stored = common.written(blocks(docs), "blocks")
-    told = common.written(owners(anchors(stored, buckets, span, gram), parts), "owners")
+    told = common.written(owners(anchors(stored, buckets, span, gram), buckets, hot), "owners")
     common.release(spark)
-    masks = common.written(window_masks(contested_runs(stored, told, buckets, parts, span, gram), parts, span, gram), "masks")
+    masks = common.written(window_masks(contested_runs(stored, told, buckets, parts, span, gram), buckets, span, gram), "masks")
     common.release(spark)
     facts = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *([T.StructField("text", T.StringType())] if with_text else []), *[docs.schema[c] for c in others], *facts])
@@ -451,5 +483,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = [rest.column("doc_id"), *([pa.array(texts, pa.string())] if with_text else []), *[rest.column(c) for c in others], pa.array(np.diff(offsets)), pa.array(total[offsets[1:]] - total[offsets[:-1]]), pa.array(spans[offsets[1:]] - spans[offsets[:-1]]), pa.array(sums, pa.string())]
             yield from pa.Table.from_arrays(columns, names=schema.names).combine_chunks().to_batches()
 
-    return beside(stored, told.where("kind = 0").unionByName(masks), parts).mapInArrow(run, schema)
+    return common.arrow(beside(stored, told.where("kind = 0").unionByName(masks), parts), run, schema)
 
