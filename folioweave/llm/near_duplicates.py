@@ -22,8 +22,9 @@ a tree for each connected part, so no table holds all pairs of a group of copies
 the one of the smallest centre.
 
 Defined results: null, empty or blank text has no shingles and links with nothing; with fewer than n words the whole
-sequence is one shingle; rows with equal doc_id are one document for links and each give a row; an empty table gives an
-empty result; other columns are ignored.
+sequence is one shingle; rows with equal doc_id are one document, which links whatever any of its texts links, and each give
+a row with its own n_shingles; rows with a null doc_id link with nothing; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ HELD = 750_000
 #: Requests for texts that are broadcast (about 50 bytes a request, of more centres more).
 ASKED = 250_000
 #: Edges that one task may finish alone.
-LOCAL = 1_000_000
+LOCAL = 200_000
 _WORD = common.blank_words()
 _VALUES = common.byte_values(7, fold_case=True)
 
@@ -144,7 +145,7 @@ def digests(docs: DataFrame, n: int = N) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), join(sizes, np.int64), join(h1, np.int64), join(h2, np.int64), pa.array(wides, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "wide"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, h1 bigint, h2 bigint, wide binary")
+    return common.arrow(docs, run, f"doc_id {kind}, n_shingles bigint, h1 bigint, h2 bigint, wide binary")
 
 
 def hot_shingles(docs: DataFrame, rows: int, n: int = N) -> np.ndarray:
@@ -159,7 +160,7 @@ def hot_shingles(docs: DataFrame, rows: int, n: int = N) -> np.ndarray:
                 values, counts = np.unique(shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["shingle", "n"])
 
-    counted = sample.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    counted = common.arrow(sample, run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
     found = counted.orderBy(F.desc("n"), "shingle").limit(HOT_KEPT).select("shingle").toArrow()
     return np.sort(found.column(0).combine_chunks().to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
 
@@ -216,10 +217,10 @@ def key_blobs(docs: DataFrame, buckets: int, hot: np.ndarray, n: int = N) -> Dat
         if keys:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket bigint, keys binary, ids binary")
+    return common.arrow(docs, run, "bucket bigint, keys binary, ids binary")
 
 
-def stars(blobs: DataFrame, partitions: int) -> DataFrame:
+def stars(blobs: DataFrame, buckets: int) -> DataFrame:
     """a, b: the smallest id of each group of equal keys with every other one; each pair once a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +232,12 @@ def stars(blobs: DataFrame, partitions: int) -> DataFrame:
             new = np.r_[True, k[1:] != k[:-1]]
             centre = i[new][np.cumsum(new) - 1]
             some = centre != i
-            pairs = np.unique(np.stack([centre[some], i[some]], 1), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            centre, i = centre[some], i[some]
+            order = np.lexsort((i, centre))
+            centre, i = centre[order], i[order]
+            new = np.r_[True, (centre[1:] != centre[:-1]) | (i[1:] != i[:-1])][: len(i)]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(centre[new]), pa.array(i[new])], names=["a", "b"])
 
         at, blobs_k, blobs_i = None, [], []
         for batch in batches:
@@ -247,7 +251,7 @@ def stars(blobs: DataFrame, partitions: int) -> DataFrame:
         if blobs_k:
             yield from done(blobs_k, blobs_i)
 
-    return blobs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
+    return common.arrow(common.dealt(blobs, buckets), run, "a bigint, b bigint")
 
 
 def distance(x: np.ndarray, y: np.ndarray) -> int:
@@ -290,7 +294,7 @@ def forest(edges: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return edges.select("u", "v").mapInArrow(run, "u bigint, v bigint")
+    return common.arrow(edges.select("u", "v"), run, "u bigint, v bigint")
 
 
 def components(edges: DataFrame, local: int = LOCAL, most: int = 60) -> DataFrame:
@@ -303,8 +307,8 @@ def components(edges: DataFrame, local: int = LOCAL, most: int = 60) -> DataFram
     for _ in range(most):
         size = edges.count()
         if size <= local:
-            before, edges = edges, common.written(forest(edges.coalesce(1)), "edges")
-            common.dropped(before)
+            last, edges = edges, common.written(forest(edges.coalesce(1)), "edges")
+            common.dropped(last)
             break
         # Large star: all larger neighbours of u go to the smallest of u and its neighbours.
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -313,7 +317,8 @@ def components(edges: DataFrame, local: int = LOCAL, most: int = 60) -> DataFram
         # Small star: all smaller neighbours of u, and u, go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = common.written(small, "edges")
+        last, edges = edges, common.written(small, "edges")
+        common.dropped(last)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             break
@@ -368,7 +373,8 @@ def partnered(members: DataFrame, digest: DataFrame, partitions: int) -> DataFra
         if group:
             yield found(at[0], group)
 
-    return rows.repartition(partitions, "a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
+    rows = rows.repartition(partitions, "a", "x", "y").sortWithinPartitions("a", "x", "y")
+    return common.arrow(rows, run, "a bigint, b bigint").distinct()
 
 
 def overlaps(values: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -445,35 +451,48 @@ def star_links(members: DataFrame, docs: DataFrame, partitions: int, n: int = N)
         if group:
             yield found(group)
 
-    return sent.repartition(partitions, "a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(run, "u bigint, v bigint, n bigint")
+    return common.arrow(sent.repartition(partitions, "a", "x", "y").sortWithinPartitions("a", "x", "y"), run, "u bigint, v bigint, n bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest id with the same set), n_links (other classes that the class links)."""
     common.tune(docs.sparkSession)
     docs = documents(docs, id_col, text_col)
+    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        return joined(docs, n)
+    # Repeated ids: rows are numbered and compared as they are; those of one id are then tied together.
+    rows = common.written(docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    names = rows.where("row is not null").select("row", "doc_id")
+    first = names.groupBy("doc_id").agg(F.min("row").alias("a"), F.count("*").alias("k")).where("k > 1").select("doc_id", "a")
+    found = joined(rows.select(F.col("row").alias("doc_id"), "text"), n, names.join(first, "doc_id").where("row != a").select("a", F.col("row").alias("b")))
+    found = common.written(found.withColumnRenamed("doc_id", "row").join(names, "row", "left"), "rows-joined")
+    least = lambda by, name: found.groupBy(by).agg(F.min("doc_id").alias(name))
+    out = found.join(least("component_id", "c"), "component_id", "left").join(least("class_id", "k"), "class_id", "left")
+    return out.select("doc_id", "n_shingles", F.col("c").alias("component_id"), F.col("k").alias("class_id"), "n_links")
+
+
+def joined(docs: DataFrame, n: int, tied: DataFrame | None = None) -> DataFrame:
+    """The same for documents with distinct ids; tied pairs (a, b) count as one document."""
     parts = common.partitions_for(docs)
     stored = common.written(digests(docs, n), "digests")
     docs = docs.where(F.col("doc_id").isNotNull())
+    named = stored.where("n_shingles > 0 and doc_id is not null")
     classes = stored.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    repeated = stored.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
-    once = (lambda df: df.dropDuplicates(["doc_id"])) if repeated else (lambda df: df)
-    single = once(stored.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "wide"))
-    same = common.written(stored.where("n_shingles > 0 and doc_id is not null").select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "class_id"), "classes")
-    candidates = common.written(stars(key_blobs(docs, 8 * parts, hot_shingles(docs, stored.count(), n), n), parts).distinct(), "stars")
+    same = common.written(named.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "class_id"), "classes")
+    buckets = 2 * parts
+    candidates = common.written(stars(key_blobs(docs, buckets, hot_shingles(docs, stored.count(), n), n), buckets).distinct(), "stars")
     common.release(docs.sparkSession)
-    of = once(same)
-    pairs = candidates.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    pairs = candidates.join(same.toDF("a", "ca"), "a").join(same.toDF("b", "cb"), "b").where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     members = common.written(pairs.unionByName(pairs.select("a", F.col("a").alias("b"))).distinct(), "members")
     common.dropped(candidates)
-    near = common.written(partnered(members, single, parts), "partnered")
+    near = common.written(partnered(members, named.select("doc_id", "n_shingles", "wide"), parts), "partnered")
     common.dropped(members)
     common.release(docs.sparkSession)
-    links = common.written(star_links(near, once(docs), parts, n), "links")
+    links = common.written(star_links(near, docs, parts, n), "links")
     common.dropped(near)
     common.release(docs.sparkSession)
     edges = links.where("u != v").select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(same.where("doc_id != class_id").toDF("a", "b"))
-    labels = common.written(components(edges), "labels")
+    labels = common.written(components(edges if tied is None else edges.unionByName(tied)), "labels")
     n_links = links.where("n > 0").groupBy(F.col("u").alias("class_id")).agg(F.sum("n").alias("n_links"))
     found = stored.select("doc_id", "n_shingles", "h1", "h2").join(classes.join(n_links, "class_id", "left"), ["h1", "h2", "n_shingles"], "left").join(labels, "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
