@@ -7,10 +7,12 @@ Content-Length, its two closing line ends, the inner message's length, and the b
 
 Of records with equal payloads of at least ``LEAST_REVISIT`` bytes the one with the largest page_id is a response, the
 others are revisits of it that carry no payload. Digests are made, and equal ones found, in the JVM; payloads cross no
-shuffle but the one that hands each page its verdict.
+shuffle but the one that hands each page its verdict, which is salted, and which shorter pages don't enter.
 
-Archives are rows (``archive``, ``content``), so any Spark sink holds them and ``spark.read.format("binaryFile")`` of
-``.warc.zst`` files gives the reader the same ``content``. The query keeps them in the shared folder.
+Archives are files ``<uuid>.warc.zst`` in a folder that all executors reach. A task streams records to a file of its own and
+names it in its result, so the list of archives that Spark commits holds each record once, whatever tasks were repeated; the
+reader reads the archives of such a list. ``read_archives`` does the same for any table with a column ``content``, such as
+``spark.read.format("binaryFile")`` gives for a folder of archives.
 
 Defined results: null html is the empty payload; null url is written as ``urn:page:<id>``; a null page_id gives a record
 without an id field value and is read back null; repeated rows are records each, and a repeated response row beside its
@@ -22,9 +24,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401  pa.fs
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_REVISIT = 1000
-#: Uncompressed bytes of an archive, bytes of a dictionary, and records sampled for it.
-ARCHIVE_BYTES, DICTIONARY_BYTES, DICTIONARY_RECORDS = 16 << 20, 32 << 10, 400
+#: Uncompressed bytes of an archive, bytes of a dictionary, records and bytes sampled for it, and salts of a digest.
+ARCHIVE_BYTES, DICTIONARY_BYTES, DICTIONARY_RECORDS, DICTIONARY_SAMPLE, SALTS = 16 << 20, 32 << 10, 400, 2 << 20, 32
 # Fixed values of the formats.
 FRAME_MAGIC, DICTIONARY_MAGIC = 0xFD2FB528, 0x184D2A5D
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
@@ -96,22 +100,37 @@ def parse_record(raw: bytes) -> dict:
     return {"page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": number("warc-refers-to"), "payload_bytes": length, "payload_digest": digest, "payload": payload if kind == "response" else None}
 
 
-def write_archive(records: list[bytes]) -> bytes:
-    """The archive of records: dictionary frame, then a frame for each."""
-    out, sample = io.BytesIO(), [r[: 16 << 10] for r in records[:DICTIONARY_RECORDS]]
+def dictionary_of(records: list[bytes]) -> bytes:
+    """A dictionary learnt from records."""
+    sample = [r[: 16 << 10] for r in records[:DICTIONARY_RECORDS]]
     data = b""
     if len(sample) >= 16:
         try:
             data = zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=256, d=8).as_bytes()
         except zstandard.ZstdError:  # too little or too uniform to learn from
             data = b""
-    if not data:  # raw content also serves as a dictionary
-        data = b"".join(sample)[:DICTIONARY_BYTES] or b"WARC/1.1\r\n"
-    packed = zstandard.ZstdCompressor(level=3).compress(data)
-    out.write(DICTIONARY_MAGIC.to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed)
-    compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data), write_checksum=True)
+    return data or b"".join(sample)[:DICTIONARY_BYTES] or b"WARC/1.1\r\n"  # raw content also serves as a dictionary
+
+
+class ArchiveWriter:
+    """Writes records to a binary file: the dictionary frame, then a frame for each."""
+
+    def __init__(self, out, dictionary: bytes):
+        packed = zstandard.ZstdCompressor(level=3).compress(dictionary)
+        out.write(DICTIONARY_MAGIC.to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed)
+        self.out = out
+        self.compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
+
+    def add(self, record: bytes) -> None:
+        self.out.write(self.compressor.compress(record))
+
+
+def write_archive(records: list[bytes]) -> bytes:
+    """The archive of records."""
+    out = io.BytesIO()
+    writer = ArchiveWriter(out, dictionary_of(records))
     for record in records:
-        out.write(compressor.compress(record))
+        writer.add(record)
     return out.getvalue()
 
 
@@ -170,61 +189,117 @@ def with_verdicts(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     pages = pages.withColumn("html", F.coalesce("html", F.lit("")))
     # Only ids and digests are shuffled to find equals; the partial counts make a hot digest one row a task.
     digests = pages.where(F.octet_length("html") >= LEAST_REVISIT).select(F.sha1(F.col("html").cast("binary")).alias("d"), F.octet_length("html").alias("size"), "page_id")
-    groups = digests.groupBy("d", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper")).where("n > 1").select("d", "keeper")
-    pages = pages.withColumn("d", F.sha1(F.col("html").cast("binary")))
-    joined = pages.join(groups, "d", "left")
-    revisit = (F.octet_length("html") >= LEAST_REVISIT) & F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return joined.select("page_id", "url", "html", F.col("d").alias("digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
-
-
-def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """archive, content: all pages as archives of about archive_bytes before compression."""
+    groups = digests.groupBy("d", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper")).where("n > 1")
+    groups = groups.select("d", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pages = pages.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    short = pages.where(F.octet_length("html") < LEAST_REVISIT).select("page_id", "url", "html", "digest", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"))
+    long = pages.where(F.octet_length("html") >= LEAST_REVISIT).withColumns({"d": F.col("digest"), "salt": F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")})
+    revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    joined = long.join(groups, ["d", "salt"], "left").select("page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
+    return short.unionByName(joined)
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            page_id, url, html, digest, kind, refers_to = (x.as_py() for x in row)
+            yield record_bytes(page_id, url, kind, refers_to, html.encode(), digest)
+
+
+def archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """archive, records, bytes: pages written to files below folder, each of about archive_bytes before compression. Files come
+    into being when the result is made; those that it names are whole."""
     common.tune(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+        found, out, first, held = _records(batches), None, [], 0
+        system, at = pa.fs.FileSystem.from_uri(folder)
+        system.create_dir(at, recursive=True)
+        names, counts, sizes = [], [], []
+
+        def start() -> None:
+            nonlocal out, writer, first
+            names.append(f"{uuid.uuid4().hex}.warc.zst")
+            counts.append(len(first))
+            out = system.open_output_stream(f"{at}/{names[-1]}", compression=None)  # the name ends in .zst
+            writer = ArchiveWriter(out, dictionary_of(first))
+            for r in first:
+                writer.add(r)
+            first = []
+
+        def stop() -> None:
+            nonlocal out, held
+            sizes.append(out.tell())
+            out.close()
+            out, held = None, 0
+
+        writer = None
+        for record in found:
+            held += len(record)
+            if out is None:
+                first.append(record)
+                if len(first) >= DICTIONARY_RECORDS or held >= min(DICTIONARY_SAMPLE, archive_bytes):
+                    start()
+            else:
+                writer.add(record)
+                counts[-1] += 1
+            if out is not None and held >= archive_bytes:
+                stop()
+        if first:
+            start()
+        if out is not None:
+            stop()
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(f"{folder.rstrip('/')}/{n}" for n in names), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], names=["archive", "records", "bytes"])
+
+    return common.arrow(with_verdicts(pages, id_col, url_col, html_col), write, "archive string, records bigint, bytes bigint")
+
+
+def _batches(records: Iterator[dict], names: list[str]) -> Iterator[pa.RecordBatch]:
+    kinds = {"page_id": pa.int64(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
+    rows: list[dict] = []
+    held = 0
+    for record in records:
+        rows.append(record)
+        held += len(record["payload"] or b"")
+        if len(rows) >= 1000 or held > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
 
-        records: list[bytes] = []
-        held = 0
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{uuid.uuid4().hex}.warc.zst"]), pa.array([write_archive(records)], pa.binary())], names=["archive", "content"])
+def _names(with_payload: bool) -> list[str]:
+    return [f.split()[0] for f in RECORD.split(", ")][: None if with_payload else -1]
 
+
+def read_files(found: DataFrame, with_payload: bool = True) -> DataFrame:
+    """Every record of the archives that column ``archive`` names, each file read by one task."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*batch.columns, strict=True):
-                page_id, url, html, digest, kind, refers_to = (x.as_py() for x in row)
-                records.append(record_bytes(page_id, url, kind, refers_to, html.encode(), digest))
-                held += len(records[-1])
-                if held >= archive_bytes:
-                    yield flush()
-                    records, held = [], 0
-        if records:
-            yield flush()
+            for path in batch.column(0).to_pylist():
+                system, at = pa.fs.FileSystem.from_uri(path)
+                with system.open_input_file(at) as file:
+                    yield from _batches(read_archive(file.read()), _names(with_payload))
 
-    return with_verdicts(pages, id_col, url_col, html_col).mapInArrow(write, "archive string, content binary")
+    return common.arrow(found.select("archive"), read, RECORD if with_payload else RECORD.rpartition(", ")[0])
 
 
 def read_archives(found: DataFrame, with_payload: bool = True) -> DataFrame:
     """Every record of the archives in column ``content``; without payloads only their validated facts."""
-    names = [f.split()[0] for f in RECORD.split(", ")][: None if with_payload else -1]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"page_id": pa.int64(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
         for batch in batches:
             for content in batch.column(0):
-                rows: list[dict] = []
-                for record in read_archive(content.as_py() or b""):
-                    rows.append(record)
-                    if len(rows) >= 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
+                yield from _batches(read_archive(content.as_py() or b""), _names(with_payload))
 
-    return found.select("content").mapInArrow(read, RECORD if with_payload else RECORD.rpartition(", ")[0])
+    return common.arrow(found.select("content"), read, RECORD if with_payload else RECORD.rpartition(", ")[0])
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages as archives into the shared folder and read them back."""
-    stored = common.written(archives(pages), "warc")
-    return read_archives(stored, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    spark = pages.sparkSession
+    listed = common.written(archives(pages, common.shared_dir(spark, "warc")), "archives")
+    listed = listed.repartition(max(1, listed.count()))  # a file is the unit of work
+    return read_files(listed, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

@@ -10,7 +10,7 @@ def rows():
     return [(1, "http://a/", big, "k"), (5, "http://b/ c\r\nX: y", big, "k"), (3, None, big, "k"), (7, "u", "y" * 999, "k"), (8, "u", "y" * 999, "k"), (9, "u", None, "k"), (10, "u", "", "k"), (12, "u", other, "k"), (11, "u", other, "k"), (20, "u", "\r\n\r\n<p>", "k"), (30, "u", "z" * 3_000_000, "k")]
 
 
-def test_round_trip(spark):
+def test_round_trip(spark, tmp_path):
     df = spark.createDataFrame(rows(), "page_id long, url string, html string, digest string")
     got = {r.page_id: r for r in warc.warc_round_trip(df).collect()}
     assert len(got) == len(rows())
@@ -18,8 +18,13 @@ def test_round_trip(spark):
         raw = (html or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
     assert {i: r.refers_to for i, r in got.items() if r.record_type == "revisit"} == {1: 5, 3: 5, 11: 12}
-    full = {r.page_id: r.payload for r in warc.read_archives(warc.archives(df, archive_bytes=2000)).collect()}
-    assert full[20] == b"\r\n\r\n<p>" and full[5] == b"x" * 1000 and full[1] is None
+    listed = warc.archives(df, f"file://{tmp_path}/made", archive_bytes=2000).collect()
+    assert sum(r.records for r in listed) == len(rows()) and len(listed) > 1
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/made/*.warc.zst")
+    assert {(r.path.rpartition("/")[2], r.length) for r in files.select("path", "length").collect()} == {(r.archive.rpartition("/")[2], r.bytes) for r in listed}
+    for found in (warc.read_archives(files), warc.read_files(spark.createDataFrame(listed))):
+        full = {r.page_id: r.payload for r in found.collect()}
+        assert len(full) == len(rows()) and full[20] == b"\r\n\r\n<p>" and full[5] == b"x" * 1000 and full[1] is None
 
 
 def test_nothing(spark):
