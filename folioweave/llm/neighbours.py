@@ -4,20 +4,23 @@ The two halves of a vector are quantised apart, with centroids fitted on a bound
 cell. Equal vectors are one entry with its smallest ids. For a query, cells are visited in the order of the summed inner
 products of its halves with the cell's two centroids, taken from a heap over the two sorted lists, until the cells hold
 ``share`` of all entries; share is the smallest that reached ``AIM`` recall for sampled queries against the sample by brute
-force, so clustered data visit few cells and shapeless data many. Entries are then reranked by the exact product.
+force, so clustered data visit few cells and shapeless data many. Entries are then reranked by the exact product. The number
+of centroids follows the number of vectors: about ``CELL`` entries a cell, up to ``CENTROIDS`` a half.
 
 Entries are laid out in shards of at most ``SHARD`` entries: whole cells while they fit, a large cell over several shards.
 Queries go to the shards that hold their cells; a shard's entries are held in memory, its queries stream past them. Only
 centroids, cell counts and the sample reach the driver, all of fixed size; every vector is indexed.
 
 Defined results: null vectors, zero vectors, vectors holding null or non-finite components, vectors of another dimension
-than the sample's, and null ids take no part; fewer candidates than k give fewer rows; ties go to the smaller vec_id; a
-repeated id counts as two rows, of which a query excludes both when it is its own; other columns are ignored.
+than the sample's, and null ids take no part; fewer candidates than k give fewer rows; ties go to the smaller vec_id; rows
+that share an id are one entry and one query, with the smallest of their usable vectors; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of the sample, centroids of a half, rounds of fitting, recall to aim for in the sample, entries of a shard, queries at once.
-SAMPLE, CENTROIDS, ROUNDS, AIM, SHARD, QUERIES = 10_000, 32, 12, 0.97, 8192, 512
+#: Rows of the sample (more for many centroids), most centroids of a half, entries a cell, rounds of fitting, recall to aim for
+#: in the sample, entries of a shard, queries at once.
+SAMPLE, CENTROIDS, CELL, ROUNDS, AIM, SHARD, QUERIES = 10_000, 1024, 8, 12, 0.95, 8192, 512
 
 
 def fit_half(points: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 1) -> np.ndarray:
@@ -46,8 +50,14 @@ def fit_half(points: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 1) ->
     return centres
 
 
-def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmin((centres**2).sum(1) - 2 * points @ centres.T, axis=1)
+def nearest(points: np.ndarray, centres: np.ndarray, rows: int = 4096) -> np.ndarray:
+    norms = (centres**2).sum(1)
+    return np.concatenate([np.argmin(norms - 2 * points[a : a + rows] @ centres.T, axis=1) for a in range(0, len(points), rows)] or [np.zeros(0, np.int64)])
+
+
+def centroids_for(n: int) -> int:
+    """Centroids of a half for n vectors."""
+    return int(min(CENTROIDS, max(4, round((n / CELL) ** 0.5))))
 
 
 def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, budget: float) -> list[int]:
@@ -102,7 +112,10 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     found = common.only(vectors, id_col, vector_col).toDF("vec_id", "v").withColumn("v", v.cast("array<double>"))
-    return found.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0.0))
+    found = found.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0.0))
+    if found.groupBy("vec_id").count().where("count > 1").isEmpty():
+        return found
+    return found.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -128,7 +141,7 @@ def entries(vectors: DataFrame, index: MultiIndex, keep: int) -> DataFrame:
             rows = order[start]
             yield pa.RecordBatch.from_arrays([pa.array(index.cells(m[rows]), pa.int32()), pa.array([raw[r].tobytes() for r in rows], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["cell", "vector", "ids"])
 
-    coded = vectors.mapInArrow(code, "cell int, vector binary, ids array<bigint>")
+    coded = common.arrow(vectors, code, "cell int, vector binary, ids array<bigint>")
     return coded.groupBy("cell", "vector").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
 
 
@@ -149,7 +162,7 @@ def layout(counts: np.ndarray, shard: int) -> tuple[np.ndarray, np.ndarray]:
     return first, many
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, sample_rows: int = SAMPLE, centroids: int = CENTROIDS, aim: float = AIM, shard: int = SHARD) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, sample_rows: int = SAMPLE, centroids: int | None = None, aim: float = AIM, shard: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows for each query (rows of vectors with ids divisible by every,
     unless queries are given)."""
     spark = vectors.sparkSession
@@ -157,12 +170,15 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k:
     vectors = usable(vectors, id_col, vector_col)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     n = vectors.count()
+    centroids = centroids or centroids_for(n)
+    sample_rows = max(sample_rows, 16 * centroids)
+    shard = shard or min(SHARD, max(256, n // (2 * spark.sparkContext.defaultParallelism)))  # small tables too fill all cores
     thin = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.5 * sample_rows / max(1, n))))
     rows = thin.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect() or vectors.limit(sample_rows).select("v").collect()
     if not rows:
         return spark.createDataFrame([], schema)
     sizes = np.array([len(r.v) for r in rows])
-    dim = int(np.bincount(sizes).argmax())
+    dim = int(np.bincount(sizes).argmax())  # of equally frequent ones the smallest
     vectors = vectors.where(F.size("v") == dim)
     asked = usable(queries, id_col, vector_col).where(F.size("v") == dim) if queries is not None else vectors.where(F.col("vec_id") % every == 0)
     index = MultiIndex(np.array([r.v for r in rows if len(r.v) == dim]), centroids, aim, k)
@@ -177,7 +193,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k:
         _, _, first, many = shared.value
         for batch in batches:
             cells = batch.column(0).to_numpy()
-            spread = np.array([hash(v) for v in batch.column(1).to_pylist()], np.int64) % many[cells]
+            spread = np.array([zlib.crc32(v) for v in batch.column(1).to_pylist()], np.int64) % many[cells]
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(first[cells] + spread), pa.array(np.zeros(len(cells), np.int32)), none, batch.column(1), pa.array([[c] for c in cells], pa.list_(pa.int32())), batch.column(2)], names=names)
 
@@ -239,8 +255,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k:
                     elif (done := best(part, int(shards[a]))) is not None:
                         yield done
 
-    laid = stored.mapInArrow(place, kinds).unionByName(asked.mapInArrow(ask, kinds))
+    laid = common.arrow(stored, place, kinds).unionByName(common.arrow(asked, ask, kinds))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(first.max() + many.max()), 100_000))
-    found = laid.repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(rerank, "query_id bigint, vec_id bigint, score double")
+    found = common.arrow(laid.repartition(parts, "shard").sortWithinPartitions("shard", "kind"), rerank, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -49,6 +49,14 @@ def test_ties_and_few(spark):
     assert nn.nearest_neighbours(few.where("false")).count() == 0
 
 
+def test_repeated_rows(spark):
+    data = [(i, [float(i % 7 + 1), float(i % 5)]) for i in range(40)]
+    rows = data + [data[0], data[0], (20, [9.0, 9.0]), data[7]]
+    got = nn.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5, aim=1.0).collect()
+    want = brute(data, 5)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted((q, n + 1, j, s) for q in want for n, (j, s) in enumerate(want[q]))
+
+
 def test_recall_on_the_tables(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = nn.nearest_neighbours(df).collect()
