@@ -30,7 +30,7 @@ from . import common
 
 #: Entries of each of the two generations of a worker's cache of chunks (one blank-separated piece of text each), the longest
 #: chunk that is kept, seams known, and the bytes of a pre-token and characters of a text that are taken at once.
-CACHE, LONGEST_CACHED, SEAMS, AT_ONCE, WINDOW = 200_000, 64, 400_000, 4096, 1 << 16
+CACHE, LONGEST_CACHED, SEAMS, AT_ONCE, WINDOW = 150_000, 64, 150_000, 4096, 1 << 16
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _DOUBLE_BLANK = re.compile(r"\s\s|[\x00\x1c-\x1f]")
 _SEAM = re.compile(r"(?<=\S) (?=\S)")

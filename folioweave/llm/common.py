@@ -71,8 +71,9 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch so that batches of long texts stay small."""
+    """Bound the rows and bytes of an Arrow batch so that batches of long texts stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE))
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -245,9 +246,9 @@ def by_bucket(bucket: np.ndarray, arrays: list[np.ndarray], order: np.ndarray |
         yield int(sorted_bucket[a]), [x[a:b] for x in arrays]
 
 
-def dealt(df: DataFrame, buckets: int, column: str = "bucket") -> DataFrame:
-    """df with each bucket's rows in a partition of its own number, sorted by bucket."""
-    return df.repartitionById(buckets, F.col(column).cast("int")).sortWithinPartitions(column)
+def dealt(df: DataFrame, partitions: int, column: str = "bucket") -> DataFrame:
+    """df sorted by bucket in partitions that hold equally many buckets each."""
+    return df.repartitionById(partitions, F.pmod(F.col(column), F.lit(partitions)).cast("int")).sortWithinPartitions(column)
 
 
 def only(docs: DataFrame, *names: str) -> DataFrame:

@@ -220,7 +220,7 @@ def key_blobs(docs: DataFrame, buckets: int, hot: np.ndarray, n: int = N) -> Dat
     return common.arrow(docs, run, "bucket bigint, keys binary, ids binary")
 
 
-def stars(blobs: DataFrame, buckets: int) -> DataFrame:
+def stars(blobs: DataFrame, partitions: int) -> DataFrame:
     """a, b: the smallest id of each group of equal keys with every other one; each pair once a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,7 @@ def stars(blobs: DataFrame, buckets: int) -> DataFrame:
         if blobs_k:
             yield from done(blobs_k, blobs_i)
 
-    return common.arrow(common.dealt(blobs, buckets), run, "a bigint, b bigint")
+    return common.arrow(common.dealt(blobs, partitions), run, "a bigint, b bigint")
 
 
 def distance(x: np.ndarray, y: np.ndarray) -> int:
@@ -479,8 +479,7 @@ def joined(docs: DataFrame, n: int, tied: DataFrame | None = None) -> DataFrame:
     named = stored.where("n_shingles > 0 and doc_id is not null")
     classes = stored.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     same = common.written(named.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "class_id"), "classes")
-    buckets = 2 * parts
-    candidates = common.written(stars(key_blobs(docs, buckets, hot_shingles(docs, stored.count(), n), n), buckets).distinct(), "stars")
+    candidates = common.written(stars(key_blobs(docs, 8 * parts, hot_shingles(docs, stored.count(), n), n), parts).distinct(), "stars")
     common.release(docs.sparkSession)
     pairs = candidates.join(same.toDF("a", "ca"), "a").join(same.toDF("b", "cb"), "b").where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     members = common.written(pairs.unionByName(pairs.select("a", F.col("a").alias("b"))).distinct(), "members")

@@ -41,7 +41,7 @@ SPAN, GRAM = 50, 20
 #: Contested runs of an anchor above which its windows are dealt by their other bytes, and windows hashed at a time.
 HOT, SEGMENT = 2048, 1 << 18
 #: Text bytes of a block and rows of a block at most.
-BLOCK, BLOCK_ROWS = 2 << 20, 20_000
+BLOCK, BLOCK_ROWS = 3 << 19, 20_000
 _VALUES = common.byte_values(11)
 
 
@@ -287,7 +287,7 @@ def by_group(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[
         yield at, rows
 
 
-def owners(sent: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
+def owners(sent: DataFrame, partitions: int, hot: int = HOT) -> DataFrame:
     """block, kind, blob: numbers of runs that another block owns (kind 0), and of contested ones (kind 1; 3 for an anchor
     with more than ``hot`` of them)."""
 
@@ -319,7 +319,7 @@ def owners(sent: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([kind] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "kind", "blob"])
 
-    return common.arrow(common.dealt(sent, buckets), run, "block bigint, kind int, blob binary")
+    return common.arrow(common.dealt(sent, partitions), run, "block bigint, kind int, blob binary")
 
 
 def beside(stored: DataFrame, told: DataFrame, partitions: int) -> DataFrame:
@@ -350,7 +350,7 @@ def contested_runs(stored: DataFrame, told: DataFrame, buckets: int, partitions:
             anchor, at, first, last = (x[numbers] for x in (runs.anchor, runs.anchor_at, runs.first, runs.last))
             left, right = at - first, last + span - at
             padded = np.r_[np.zeros(left_width, np.uint8), runs.data, np.zeros(span, np.uint8)]
-            wide = padded[(at[:, None] + np.arange(left_width + span)[None])]
+            wide = np.lib.stride_tricks.sliding_window_view(padded, left_width + span)[at]
             wide[:, :left_width][np.arange(left_width)[None] < (left_width - left)[:, None]] = 0
             wide[:, left_width:][np.arange(span)[None] >= right[:, None]] = 0
             out = []
@@ -413,7 +413,7 @@ def window_owners(doc: np.ndarray, left: np.ndarray, right: np.ndarray, wide: np
     return mask
 
 
-def window_masks(sent: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
+def window_masks(sent: DataFrame, partitions: int, span: int, gram: int) -> DataFrame:
     """block, kind 2, blob: for contested runs the windows that a smaller document owns."""
     wide_n, half = 2 * span - gram, (span - gram) // 2
     sides = (None, range(half, span - gram + 1), range(half))
@@ -437,7 +437,7 @@ def window_masks(sent: DataFrame, buckets: int, span: int, gram: int) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([2] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "kind", "blob"])
 
-    return common.arrow(common.dealt(sent, buckets), run, "block bigint, kind int, blob binary")
+    return common.arrow(common.dealt(sent, partitions), run, "block bigint, kind int, blob binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, with_text: bool = True, hot: int = HOT) -> DataFrame:
@@ -448,11 +448,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others = [c for c in docs.columns if c not in (id_col, text_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")] if with_text else []
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in others])
     parts = common.partitions_for(docs)
-    buckets = 2 * parts
+    buckets = 4 * parts
     stored = common.written(blocks(docs), "blocks")
-    told = common.written(owners(anchors(stored, buckets, span, gram), buckets, hot), "owners")
+    told = common.written(owners(anchors(stored, buckets, span, gram), 2 * parts, hot), "owners")
     common.release(spark)
-    masks = common.written(window_masks(contested_runs(stored, told, buckets, parts, span, gram), buckets, span, gram), "masks")
+    masks = common.written(window_masks(contested_runs(stored, told, buckets, parts, span, gram), 2 * parts, span, gram), "masks")
     common.release(spark)
     facts = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *([T.StructField("text", T.StringType())] if with_text else []), *[docs.schema[c] for c in others], *facts])

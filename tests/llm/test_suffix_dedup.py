@@ -62,6 +62,19 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, rows, 20) == brute(rows)
 
 
+def test_hot_anchors_are_split(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(12))
+    texts = ["".join(word() for _ in range(4)) for _ in range(8)]
+    phrase = "the one phrase that stands everywhere, "
+    rows = [(i, rng.choice(texts)[-rng.randrange(1, 40) :] + phrase + rng.choice(texts)[: rng.randrange(1, 40)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    for hot in (1, 5, 10**6):
+        got = sd.remove_repeats(df, with_text=False, hot=hot).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
 def test_texts_and_columns_pass(spark):
     passage = "".join(random.Random(4).choice("abcdefghij é") for _ in range(120))
     rows = [(5, "start " + passage + " end", None), (3, passage, "x"), (9, "own text", "y")]
