@@ -28,7 +28,7 @@ from . import common
 
 #: Labelled rows sampled for each language, rounds of fitting, pseudo-count, words in a worker's cache.
 SAMPLE_ROWS, ROUNDS, PRIOR, CACHE = 600, 2, 0.1, 150_000
-#: Words in one forward pass, and the length above which a word is scored alone, isn't cached, and teaches nothing.
+#: Words in one forward pass, and the length above which a word is scored alone, isn't cached, and teaches in spans that long.
 AT_ONCE, LONG = 20_000, 256
 #: Words of a language are weighed by this in fitting for each of their characters, which leaves shares as they are.
 LIFT = 3.0
@@ -216,6 +216,11 @@ def word_counts(text: str | None) -> Counter:
     return Counter(found) if found and any(map(str.isalpha, text)) else Counter()
 
 
+def spans(word: str) -> list[str]:
+    """What a word teaches: its inner form, which a mark begins, in spans of at most LONG characters."""
+    return [("▁" + word)[i : i + LONG] for i in range(0, len(word) + 1, LONG)]
+
+
 def expected(words: list[str], weights: np.ndarray, pieces: Pieces, lifted: np.ndarray, floor: float, back: int, counts: np.ndarray) -> None:
     """Add to counts how often each piece is used in the words (longest first), all segmentations by their share."""
     codes, reach = code_points(words)
@@ -251,18 +256,18 @@ def expected(words: list[str], weights: np.ndarray, pieces: Pieces, lifted: np.n
 
 
 def fit(path: str, words: dict[str, Counter], rounds: int = ROUNDS, prior: float = PRIOR) -> tuple[list[str], dict[str, int], np.ndarray]:
-    """Languages, pieces and the piece probabilities (piece x language) from counts of words by language."""
+    """Languages, pieces and the piece probabilities (piece x language) from counts of spans() by language."""
     vocab = vocabulary(path)
     langs, index, back = sorted(words), Pieces(vocab), max(map(len, vocab))
     table = np.full((len(vocab), len(langs)), 1.0 / len(vocab))
-    types = sorted({w for c in words.values() for w in c if len(w) <= LONG}, key=lambda w: (-len(w), w))
+    types = sorted({w for c in words.values() for w in c}, key=lambda w: (-len(w), w))
     weights = np.array([[words[x].get(w, 0) for x in langs] for w in types], float).reshape(len(types), len(langs))
     lift = np.exp(LIFT * np.array([len(p) for p in vocab]))[:, None]
     for _ in range(rounds):
         counts, at = np.full_like(table, prior), 0
         while at < len(types):
             upto = at + at_once(len(types[at]))
-            expected(["▁" + w for w in types[at:upto]], weights[at:upto], index, table * lift, float(np.exp(UNKNOWN + LIFT)), back, counts)
+            expected(types[at:upto], weights[at:upto], index, table * lift, float(np.exp(UNKNOWN + LIFT)), back, counts)
             at = upto
         table = counts / counts.sum(axis=0)
     return langs, vocab, table
@@ -290,7 +295,7 @@ def train(docs: DataFrame, model_path: str, id_col: str, text_col: str, lang_col
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = Counter((lang.as_py(), w) for lang, text in zip(batch.column(0), batch.column(1), strict=True) for w in WORD.findall(text.as_py().lower()))
+            counts = Counter((lang.as_py(), w) for lang, text in zip(batch.column(0), batch.column(1), strict=True) for w in WORD.findall(text.as_py().lower()) for w in spans(w))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
     words: dict[str, Counter] = {}

@@ -67,3 +67,32 @@ def test_language_id_without_labels(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language_id.language_id(df, MODEL).collect()] == ["und"]
     assert language_id.language_id(df.where("false"), MODEL).count() == 0
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    import numpy as np
+
+    pieces = {"▁a": 0, "a": 1, "b": 2, "ab": 3, "▁ab": 4, "bab": 5}
+    scorer = language_id.Scorer(pieces, np.array([[0.1, 0.3], [0.2, 0.1], [0.3, 0.2], [0.15, 0.1], [0.25, 0.3], [0.01, 0.2]]))
+    rng = random.Random(1)
+    for n in (30, 100, 255, 256, 257, 3000, 9000):
+        word = "".join(rng.choice("aabx") for _ in range(n))
+        want = []
+        for x in range(2):  # in logarithms, position by position
+            f = [0.0]
+            for j in range(1, n + 2):
+                terms = [f[j - 1] + language_id.UNKNOWN] + [f[j - k] + float(np.log(scorer.p[i, x])) for k in (1, 2, 3) if j >= k and (i := pieces.get(("▁" + word)[j - k : j])) is not None]
+                f.append(float(np.logaddexp.reduce(terms)))
+            want.append(f[-1])
+        assert scorer.words([word])[0] == pytest.approx(want, rel=1e-9)
+        assert scorer.alone(word, chunk=64) == pytest.approx(want, rel=1e-9)
+
+
+def test_texts_without_blanks_and_ties(spark):
+    texts = {"de": "dieschnellenfreundesprechendeutschundschreibenlangesätze", "en": "thequickfriendsarespeakingenglishandwritelongsentences"}
+    rows = [(i, texts["de" if i % 2 else "en"] * 8, "de" if i % 2 else "en") for i in range(40)] + [(99, texts["de"] * 2000, None), (98, "qqq", None)]
+    got = {r.doc_id: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), MODEL).collect()}
+    assert got[99].lang_pred == "de" and all(got[i].lang_pred == ("de" if i % 2 else "en") for i in range(40))
+    same = spark.createDataFrame([(i, "one two", x) for i, x in enumerate(["xx", "aa"] * 20)], "doc_id long, text string, lang string").where("crc32(cast(cast(doc_id as string) as binary)) % 4 != 2")
+    same = same.groupBy("lang").agg({"doc_id": "min"}).selectExpr("`min(doc_id)` as doc_id", "lang", "'one two' as text")
+    assert {r.lang_pred for r in language_id.language_id(same, MODEL).collect()} == {"aa"}  # equal in both: the first in order
