@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FULL, SHORT, MONTH = r"([12][0-9]{3})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2})", r"(?:^|[^0-9])([0-9]{2})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", r"([12][0-9]{3})[-/.年]([0-9]{1,2})"
+# The written forms of dates; full, with a two-digit year, year and month.
+FULL = r"(\d{4})[年/.-](\d{1,2})[月/.-](\d{1,2})日?"
+SHORT = r"'?(\d{2})[./年-](\d{1,2})[./月-](\d{1,2})日?"
+MONTH = r"(\d{4})[年/.-](\d{1,2})月"
 
 
 def date_candidate(text: Column, pivot: int = 70) -> Column:

@@ -24,20 +24,24 @@ def settled(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder: a reliable cut of its lineage, set up only where the session has none."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/folioweave-checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "/tmp/folioweave-checkpoints")
     return df.checkpoint()
 
 
-def bfs_depth(links: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
-    """node, depth from roots over (src, dst): frontier by frontier; each is a checkpoint, none is collected."""
+def bfs_depth(links: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
+    """node, depth from roots over (src, dst) until nothing new is reached: frontier by frontier; each is a checkpoint, none is
+    collected. More than ``most`` levels are an error, not an end."""
     reached = frontier = roots.select("node").distinct().withColumn("depth", F.lit(0))
     for depth in range(1, most + 1):
         frontier = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         frontier = settled(frontier)
         if frontier.isEmpty():
-            break
+            return reached
         reached = settled(reached.unionByName(frontier))
-    return reached
+    raise RuntimeError(f"deeper than {most} levels")
 
 
 def min_max(value: Column, reverse: bool = False) -> Column:
@@ -80,9 +84,18 @@ def plan(pages: DataFrame, weights: dict[str, float] = WEIGHTS, reverse: frozens
     return scored.select("page_id", "title", F.round(total, 6).alias("total"))
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with each row's place (from 1) in a total order. Rows are dealt by ranges of the order and sorted apart; only the
+    sizes of the ranges are summed up, so no task sees all rows."""
+    placed = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + inside + 1).drop("_at", "_part", "_before")
+
+
 def ranked(scored: DataFrame) -> DataFrame:
-    order = Window.orderBy(F.desc("total"), "page_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return numbered(scored, [F.desc("total"), F.col("page_id")], "rank")
 
 
 def directory_index(links: DataFrame, members: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -93,10 +106,15 @@ def directory_index(links: DataFrame, members: DataFrame, threshold: float = 0.6
     return best.groupBy("dir").agg(F.max_by("page_id", F.struct("coverage", -F.col("page_id"))).alias("page_id"), F.max("coverage").alias("coverage")).where(F.col("coverage") >= threshold)
 
 
-def predecessors(ordered: DataFrame, n: int = 5) -> DataFrame:
-    """page_id, before: the n rows before each in rank order, nearest last."""
-    window = Window.orderBy("rank").rowsBetween(-n, -1)
-    return ordered.select("page_id", F.array_join(F.collect_list(F.col("page_id").cast("string")).over(window), "|").alias("before"))
+def predecessors(ordered: DataFrame, n: int = 5, block: int = 100_000) -> DataFrame:
+    """page_id, before: the n rows before each in rank order, nearest last. Ranks are cut into blocks, and the last rows of a
+    block are looked at in the next one too."""
+    own = F.floor((F.col("rank") - 1) / block)
+    near = F.floor((F.col("rank") - 1 + n) / block)
+    rows = ordered.select("page_id", "rank", own.alias("own"), F.explode(F.array_distinct(F.array(own, near))).alias("block"))
+    window = Window.partitionBy("block").orderBy("rank").rowsBetween(-n, -1)
+    out = rows.withColumn("before", F.array_join(F.collect_list(F.col("page_id").cast("string")).over(window), "|"))
+    return out.where("own = block").select("page_id", "before")
 
 
 def date_numbers(dated: DataFrame) -> DataFrame:

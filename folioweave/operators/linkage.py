@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .graph import settled
 
 
-def shared_target_predecessors(links: DataFrame, ranks: DataFrame, k: int = 3) -> DataFrame:
-    """page_id, before, common: earlier pages by rank that share most link targets, best k. Every target counts."""
-    placed = links.join(ranks, "page_id")
-    a, b = placed.select("href", "page_id", "rank"), placed.select("href", F.col("page_id").alias("before"), F.col("rank").alias("r"))
-    common = a.join(b, "href").where("r < rank").groupBy("page_id", "before").agg(F.count("*").alias("common"))
-    order = Window.partitionBy("page_id").orderBy(F.desc("common"), "before")
-    return common.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+def near(value: Column, low: float, high: float) -> Column:
+    """1 at low, 0 at high, straight between, never outside; 1 where there is no room between them."""
+    if high <= low:
+        return F.lit(1.0)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(high) - value) / (high - low)))
+
+
+def link_predecessors(links: DataFrame, pages: DataFrame, k: int = 3, weights: tuple[float, float] = (3.0, 1.0), hops: tuple[float, float] = (2, 8), distance: tuple[float, float] = (1, 128)) -> DataFrame:
+    """page, before, score: of the pages that link to a page (links: src, dst; pages: page, path, rank, is_index), indexes left
+    out, the k best by path hops and plan distance. A page without a rank is as far as can be. Every link is looked at once; the
+    best are kept in each task before they meet."""
+    p = pages.select("page", "path", "rank")
+    a = pages.where(~F.coalesce("is_index", F.lit(False))).select(F.col("page").alias("src"), F.col("path").alias("src_path"), F.col("rank").alias("src_rank"))
+    met = links.select("src", F.col("dst").alias("page")).distinct().join(a, "src").join(p, "page")
+    apart = F.coalesce(F.abs(F.col("rank") - F.col("src_rank")).cast("double"), F.lit(float(distance[1])))
+    scored = met.withColumn("score", weights[0] * near(T.path_hops(F.col("src_path"), F.col("path")), *hops) + weights[1] * near(apart, *distance))
+    order = Window.partitionBy("page").orderBy(F.desc("score"), F.col("src_rank").asc_nulls_last(), "src")
+    return scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("page", F.col("src").alias("before"), F.round("score", 6).alias("score"))
 
 
 def context_pack(sources: list[tuple[str, DataFrame]], summaries: DataFrame) -> DataFrame:
@@ -113,16 +124,19 @@ def clusters(pairs: DataFrame, most: int = 50) -> DataFrame:
     raise RuntimeError("clusters did not settle")
 
 
-def composite_ranks(nodes: DataFrame, levels: int = 8) -> DataFrame:
-    """node, path_rank = parent's path_rank * 1000 + rank, level by level from the roots (parent null)."""
-    done = level = nodes.where("parent is null").select("node", F.col("rank").cast("bigint").alias("path_rank"))
+def composite_ranks(nodes: DataFrame, levels: int = 64) -> DataFrame:
+    """node, path (ranks from the root down) and path_rank = parent's path_rank * 1000 + rank, level by level from the roots
+    (parent null). Order by path: it holds for any ranks; path_rank tells only ranks below 1000 apart, and is null where it would
+    overflow. More than ``levels`` levels are an error."""
+    rank = F.col("rank").cast("bigint")
+    done = level = nodes.where("parent is null").select("node", F.array(rank).alias("path"), rank.alias("path_rank"))
     for _ in range(levels):
-        up = level.select(F.col("node").alias("parent"), F.col("path_rank").alias("up"))
-        level = settled(nodes.join(up, "parent").select("node", (F.col("up") * 1000 + F.col("rank")).cast("bigint").alias("path_rank")))
+        up = level.select(F.col("node").alias("parent"), F.col("path").alias("up"), F.col("path_rank").alias("above"))
+        level = settled(nodes.join(up, "parent").select("node", F.concat("up", F.array(rank)).alias("path"), F.try_add(F.try_multiply(F.col("above"), F.lit(1000)), rank).alias("path_rank")))
         if level.isEmpty():
-            break
+            return done
         done = done.unionByName(level)
-    return done
+    raise RuntimeError(f"deeper than {levels} levels")
 
 
 def depth_first(links: DataFrame, site: str = "site") -> DataFrame:

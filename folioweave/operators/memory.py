@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .containment import occurrences
 
 
 def upsert(state: DataFrame, changes: DataFrame, key: str = "key") -> DataFrame:
@@ -63,10 +64,8 @@ def learnable(phrases: DataFrame, most: int = 30) -> DataFrame:
 
 
 def invalidated(phrases: DataFrame, changes: DataFrame) -> DataFrame:
-    """Phrases whose key stands in a changed segment's source, whose target stood in its old and isn't in its new text. The
-    phrase's first word and the segment's words are the join key."""
-    word = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    keyed = phrases.withColumn("word", F.try_element_at(word(F.lower("key")), F.lit(1)))
-    spread = changes.withColumn("word", F.explode(F.array_distinct(word(F.lower("source")))))
-    hit = keyed.join(spread, "word").where(F.expr("instr(source, key) > 0 and instr(old, dst) > 0 and instr(new, dst) = 0"))
-    return phrases.join(hit.select("key").distinct(), "key", "left_semi")
+    """Phrases whose key stands in a changed segment's source, whose target stood in its old and isn't in its new text."""
+    changes = changes.withColumn("id", F.xxhash64("source", "old", "new"))
+    hits = occurrences(phrases.select(F.col("key").alias("src")), changes.select("id", F.col("source").alias("text"))).select("id", F.col("term").alias("key"))
+    gone = hits.join(phrases, "key").join(changes.select("id", "old", "new"), "id").where(F.expr("instr(old, dst) > 0 and instr(new, dst) = 0"))
+    return phrases.join(gone.select("key").distinct(), "key", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .similarity import containment
+from .containment import occurrences
 
 
 def placeholder_rule(pairs: DataFrame, token: str = "[[P") -> DataFrame:
@@ -35,8 +35,9 @@ def restore_placeholders(src: Column, dst: Column) -> Column:
 
 def term_rule(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """id, src, dst of terms (src, dst) that stand in a pair's source while their target isn't in its translation."""
-    hits = containment(glossary.select("src", F.col("dst").alias("term_dst")), pairs.select("id", F.col("src").alias("text"), F.col("dst").alias("translation")))
-    return hits.where(F.expr("instr(text, src) > 0 and instr(translation, term_dst) = 0")).select("id", "src", F.col("term_dst").alias("dst")).distinct()
+    hits = occurrences(glossary, pairs.select("id", F.col("src").alias("text"))).select("id", F.col("term").alias("src"))
+    both = hits.join(glossary.select("src", F.col("dst").alias("term_dst")), "src").join(pairs.select("id", F.col("dst").alias("translation")), "id")
+    return both.where(F.expr("instr(coalesce(translation, ''), term_dst) = 0")).select("id", "src", F.col("term_dst").alias("dst")).distinct()
 
 
 def severity_counts(issues: DataFrame, by: str = "page") -> DataFrame:

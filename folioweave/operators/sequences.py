@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import numbered
+
 
 def sessions(rows: DataFrame, by: str, order: str, counter: str) -> DataFrame:
     """rows with ``session``: a new one starts where a positive counter isn't above the last positive one before it."""
@@ -36,16 +38,27 @@ def buckets(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
 
 
 def quantile_picks(rows: DataFrame, size: str, tie: str, count: int) -> DataFrame:
-    """Rows at ``count`` even places of the order by size, largest first. Ranks come from a sort; the places are literals."""
+    """Rows at ``count`` even places of the order by size, largest first. Places come from a sort by ranges; those kept are literals."""
     n = rows.count()
     places = sorted({round(k * (n - 1) / max(1, count - 1)) + 1 for k in range(count)}) if n else []
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(size), tie))).where(F.col("place").isin(places))
+    return numbered(rows, [F.desc(size), F.col(tie)], "place").where(F.col("place").isin(places))
 
 
 def adjacent(rows: DataFrame, by: str, order: str, text: str, budget: int) -> DataFrame:
-    """rows with ``before``: text of the rows before each, nearest last, cut to the last ``budget`` characters."""
-    window = Window.partitionBy(by).orderBy(order).rowsBetween(-8, -1)
-    return rows.withColumn("before", F.right(F.array_join(F.collect_list(text).over(window), "\n"), F.lit(budget)))
+    """rows with ``before`` and ``after``: the texts nearest to each row on either side, in order, one a line, while they stay within
+    ``budget`` characters; the one that crosses it is cut on its far side. Rows with no text are passed over. Which rows are in
+    reach is told by running sums, so a frame never holds more rows than the budget has characters."""
+    window = Window.partitionBy(by).orderBy(order)
+    size = F.length(F.coalesce(F.col(text), F.lit("")))
+    kept = rows.withColumns({"_size": size, "_sum": F.sum(size).over(window), "_at": F.sum((size > 0).cast("int")).over(window)})
+    reach = Window.partitionBy(by).orderBy("_at")
+    near = F.when(F.col("_size") > 0, F.struct(F.col("_sum"), F.col("_size"), F.col(text).alias("text")))
+    lists = kept.withColumns({"_before": F.collect_list(near).over(reach.rangeBetween(-budget, 0)), "_after": F.collect_list(near).over(reach.rangeBetween(0, budget))})
+    left = lambda x: budget - (F.col("_sum") - F.col("_size") - x["_sum"])  # noqa: E731  characters left for x before the row
+    right = lambda x: budget - (x["_sum"] - x["_size"] - F.col("_sum"))
+    before = F.transform(F.filter("_before", lambda x: (x["_sum"] <= F.col("_sum") - F.col("_size")) & (left(x) > 0)), lambda x: F.right(x["text"], left(x).cast("int")))
+    after = F.transform(F.filter("_after", lambda x: (x["_sum"] - x["_size"] >= F.col("_sum")) & (right(x) > 0)), lambda x: F.left(x["text"], right(x).cast("int")))
+    return lists.withColumns({"before": F.array_join(before, "\n"), "after": F.array_join(after, "\n")}).drop("_size", "_sum", "_at", "_before", "_after")
 
 
 def chunks(texts: DataFrame, size: int = 600) -> DataFrame:

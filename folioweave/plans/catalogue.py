@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, html, texts_udf
 from ..functions import text as T
-from ..operators import graph, memory, mining, quality, sequences, similarity, stats, versions
+from ..operators import containment, graph, memory, mining, quality, sequences, similarity, stats, versions
 from ..sources import files
 from ..streaming import events as stream
 from . import model
@@ -148,9 +148,13 @@ def q_date_candidates(spark, d):
     return graph.date_numbers(read(spark, d, "orders").select("o_orderkey", text.alias("text"))).select("o_orderkey", "date", "year", "day")
 
 
-@query("select page_id, (select min(x) from (select nullif(regexp_extract(html, '<!--[^>]*?([12][0-9]{3}-[0-9]{2}-[0-9]{2})', 1), '') as x)) as date from pages where false")
+@query("select page_id, case page_id % 4 when 0 then null when 3 then '2001-03-01' else strftime(date '1999-01-05' + cast(page_id % 20000 as integer), '%Y-%m-%d') end as date from pages")
 def q_comment_dates(spark, d):
-    return read(spark, d, "pages").select("page_id", dates.comment_date(F.col("html")).alias("date")).where("date is not null")
+    # Dates in four written forms behind a page's own comment, and one in the text that must not count.
+    day = F.date_add(F.lit("1999-01-05").cast("date"), (F.col("page_id") % 20000).cast("int"))
+    said = F.when(F.col("page_id") % 4 == 0, "none").when(F.col("page_id") % 4 == 1, F.date_format(day, "'on 'yyyy年M月d日")).when(F.col("page_id") % 4 == 2, F.date_format(day, "yyyy/MM/dd")).otherwise("2001.3月")
+    source = F.concat(F.lit("1990-01-01<!--first-->"), F.regexp_replace("html", "(?s)<!--.*?-->", ""), F.lit("<!-- up "), said, F.lit(" --><!--1980-02-02-->"))
+    return read(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 4 != 0, dates.comment_date(source)).alias("date"))
 
 
 @query(f"select href, count(*) as in_degree from {LINKS} group by href")
@@ -167,13 +171,13 @@ def q_nav_position(spark, d):
 
 
 @query(f"""with recursive e as (select 'p' || page_id as src, href as dst from {LINKS} union all select href, 'p' || page_id from {LINKS}),
-w(node, depth) as (select 'p' || min(page_id), 0 from pages union select e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 4)
+w(node, depth) as (select 'p' || min(page_id), 0 from pages union select e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 60)
 select node, cast(min(depth) as bigint) as depth from w group by node""")
 def q_bfs_depth(spark, d):
     links = graph.edges(read(spark, d, "pages")).select(F.concat(F.lit("p"), "page_id").alias("p"), "href")
     both = links.select(F.col("p").alias("src"), F.col("href").alias("dst")).unionByName(links.select(F.col("href").alias("src"), F.col("p").alias("dst")))
     root = read(spark, d, "pages").agg(F.concat(F.lit("p"), F.min("page_id")).alias("node"))
-    return graph.bfs_depth(both, root, 4).select("node", b("depth"))
+    return graph.bfs_depth(both, root).select("node", b("depth"))
 
 
 @query(f"""with l as (select distinct {HOST} as dir, page_id, href from pages join {LINKS} using (page_id)), n as (select dir, count(distinct href) as n from l group by dir),
@@ -274,22 +278,26 @@ def q_terms_entropy(spark, d):
     return mining.boundary_entropy(read(spark, d, "documents"))
 
 
-@query("""with w as (select doc_id, i, l[i] as word, l from (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as l from documents), unnest(range(1, len(l) + 1)) as r(i)),
-g as (select src, n, count(*) as count from (select array_to_string(l[i : i + n - 1], ' ') as src, n from w, (values (1), (2), (3)) as s(n) where i + n - 1 <= len(l)) group by all having count(*) >= 3),
-c as (select distinct o.src as holder, o.count as f, array_to_string(t[i : i + n - 1], ' ') as src from (select src, count, n as big, string_split(src, ' ') as t from g where n > 1) o, (values (1), (2)) as s(n), unnest(range(1, big - n + 2)) as r(i) where n < big),
+_WORDS = ", ".join(f"lead(word, {i}) over w as w{i}" for i in range(1, 6))
+_GRAMS = " union all ".join("select concat_ws(' ', word{}) as src, {} as n from w where w{} is not null".format("".join(f", w{i}" for i in range(1, n)), n, n - 1) for n in range(1, 7))
+
+
+@query(f"""with u as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) as word, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) as i from documents),
+w as (select word, word as w0, {_WORDS} from u window w as (partition by doc_id order by i)), g as (select src, n, count(*) as count from ({_GRAMS}) group by all having count(*) >= 3),
+c as (select distinct o.src as holder, o.count as f, array_to_string(t[i : i + n - 1], ' ') as src from (select src, count, n as big, string_split(src, ' ') as t from g where n > 1) o, (values (1), (2), (3), (4), (5)) as s(n), unnest(range(1, big - n + 2)) as r(i) where n < big),
 m as (select src, avg(f) as mean from c group by src)
-select src, count, round(log2(n + 1) * (count - coalesce(mean, 0)), 6) as value from g left join m using (src)""")
+select g.src, count, round(log2(n + 1) * (count - coalesce(mean, 0)), 6) as value from g left join m on m.src = g.src""")
 def q_terms_cvalue(spark, d):
     return mining.c_value(read(spark, d, "documents"))
 
 
 @query()
 def q_terms_bpe(spark, d):
-    return mining.byte_pairs(read(spark, d, "documents"))
+    return mining.byte_pairs(read(spark, d, "documents"), 20)
 
 
 @query(f"""with t as (select src from {_RUNS} where count >= 40 and pages >= 2)
-select src, doc_id, context from (select src, doc_id, translate(substring(text, greatest(1, instr(text, src) - 20), length(src) + least(20, instr(text, src) - 1) + 20), chr(10), ' ') as context, row_number() over (partition by src order by doc_id) as n from t, documents where contains(text, src) and list_contains(regexp_extract_all(text, '[A-Za-z0-9]+'), string_split(src, ' ')[1])) where n <= 3""")
+select src, doc_id, context from (select src, doc_id, translate(substring(text, greatest(1, instr(text, src) - 20), length(src) + least(20, instr(text, src) - 1) + 20), chr(10), ' ') as context, row_number() over (partition by src order by doc_id) as n from t, documents where contains(text, src)) where n <= 3""")
 def q_term_contexts(spark, d):
     docs = read(spark, d, "documents")
     return mining.contexts(docs, mining.band(mining.runs(docs), 40))
@@ -319,27 +327,40 @@ def q_memory_lookup(spark, d):
     return similarity.top_k(similarity.dice_pairs(_items(spark, d), lines(spark, d).select("id", "text"), 0.9), 5, "l_id", "score", "r_id")
 
 
-@query("with t as (select item_id, left(regexp_replace(text, '[^ -~]', '', 'g'), 60) as x from benchmark) select a.item_id as a, b.item_id as b, round(1.0 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x))::double, 6) as score from t a join t b on a.item_id < b.item_id and left(a.x, 2) = left(b.x, 2)")
+@query(f"with t as (select id, regexp_replace(src, '[^ -~]', '', 'g') as x, regexp_replace(dst, '[^ -~]', '', 'g') as y from {PAIRS}) select id, case when greatest(length(x), length(y)) = 0 then 1.0 else round(1.0 - levenshtein(x, y) / greatest(length(x), length(y))::double, 6) end as score from t")
 def q_edit_similarity(spark, d):
-    a = _items(spark, d).select(F.col("id").alias("a"), F.left(F.regexp_replace("text", "[^ -~]", ""), F.lit(60)).alias("x"), F.left(F.regexp_replace("text", "[^ -~]", ""), F.lit(2)).alias("k"))
-    c = a.select(F.col("a").alias("b"), F.col("x").alias("y"), "k")
-    return a.join(c, "k").where("a < b").select("a", "b", F.round(T.edit_similarity(F.col("x"), F.col("y")), 6).alias("score"))
+    bare = lambda c: F.regexp_replace(c, "[^ -~]", "")  # noqa: E731  SQL's levenshtein counts bytes
+    return pairs(spark, d).select("id", F.round(T.edit_similarity(bare("src"), bare("dst")), 6).alias("score"))
 
 
 @query("select i.item_id, d.doc_id from benchmark i, documents d where instr(lower(d.text), lower(i.text)) > 0")
 def q_locate_exact(spark, d):
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = similarity.containment(read(spark, d, "benchmark").select("item_id", F.col("text").alias("src")), docs)
-    return found.select("item_id", F.col("id").alias("doc_id")).distinct()
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    items = read(spark, d, "benchmark").select("item_id", F.lower("text").alias("src"))
+    found = containment.occurrences(items, docs).select(F.col("id").alias("doc_id"), F.col("term").alias("src"))
+    return found.join(items, "src").select("item_id", "doc_id").distinct()
 
 
-@query()
+_LOCATE = f"""with q as (select conv_id * 100 + turn as id, case turn % 4 when 0 then text when 1 then '[[P1]]' || text when 2 then 'no such line' || chr(10) || text else substring(text, 3, length(text) - 5) || 'q' end as text from conversations),
+t as (select conv_id * 100 + turn as id, trim(regexp_replace(text, '{WS}+', ' ', 'g'), ' ') as text from conversations),
+n as (select id, trim(regexp_replace(text, '{WS}+', ' ', 'g'), ' ') as src, trim(regexp_replace(regexp_replace(text, '\\[\\[P[0-9]+\\]\\]', '', 'g'), '{WS}+', ' ', 'g'), ' ') as bare, list_filter(list_transform(regexp_split_to_array(text, '\\n'), lambda l: trim(regexp_replace(l, '{WS}+', ' ', 'g'), ' ')), lambda l: l <> '') as lines from q),
+h as (select n.id as q_id, t.id, 1 as tier from n, t where src <> '' and contains(t.text, src) union all select n.id, t.id, 2 from n, t where bare <> '' and contains(t.text, bare) union all select distinct n.id, t.id, 3 from n, unnest(n.lines) as u(l), t where len(n.lines) > 1 and contains(t.text, l)),
+r as (select id as q_id, list_distinct(list_transform(range(1, greatest(2, length(b))), lambda i: b[i : i + 1])) as g from (select id, regexp_replace(lower(bare), '[\\s[:punct:]]+', '', 'g') as b from n where id not in (select q_id from h))),
+g as (select id, list_distinct(list_transform(range(1, greatest(2, length(b))), lambda i: b[i : i + 1])) as g from (select id, regexp_replace(lower(text), '[\\s[:punct:]]+', '', 'g') as b from t)),
+f as (select q_id, id, 2.0 * len(list_intersect(r.g, g.g)) / (len(r.g) + len(g.g)) as s from r, g),
+e as (select q_id, id, tier, 1.0 as score from h union all select q_id, id, 4, round(s, 3) from (select *, row_number() over (partition by q_id order by round(s, 3) desc, id) as k from f where s >= 0.6) where k <= 5)
+select distinct q_id, id, ['exact', 'strip_ph', 'line_split', 'fuzzy'][tier] as method, cast(score as double) as score from e where tier = (select min(tier) from e x where x.q_id = e.q_id)"""
+
+
+@query(_LOCATE)
 def q_locate_tiered(spark, d):
-    return similarity.locate(_items(spark, d), lines(spark, d).select("id", "text"))
+    turns = read(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "turn", "text")
+    part = F.col("turn") % 4
+    quote = F.when(part == 0, F.col("text")).when(part == 1, F.concat(F.lit("[[P1]]"), "text")).when(part == 2, F.concat(F.lit("no such line\n"), "text")).otherwise(F.concat(F.expr("substring(text, 3, length(text) - 5)"), F.lit("q")))
+    return similarity.locate(turns.select("id", quote.alias("text")), turns.select("id", "text"))
 
 
-@query(f"""with g as (select src from {_RUNS} where count >= 30 and pages >= 2), h as (select d.doc_id as id, g.src, (length(d.text) - length(replace(lower(d.text), lower(g.src), ''))) // length(g.src) * length(g.src) as score from g, documents d
-where instr(lower(d.text), lower(g.src)) > 0 and list_contains(regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}]+'), regexp_extract(lower(g.src), '[\\p{{L}}\\p{{N}}]+')))
+@query(f"""with g as (select src from {_RUNS} where count >= 30 and pages >= 2), t as (select doc_id as id, lower(trim(regexp_replace(text, '{WS}+', ' ', 'g'), ' ')) as text from documents), h as (select t.id, g.src, (length(t.text) - length(replace(t.text, lower(g.src), ''))) // length(g.src) * length(g.src) as score from g, t where contains(t.text, lower(g.src)))
 select id, src, cast(score as bigint) as score, rank from (select *, row_number() over (partition by id order by score desc, src) as rank from h) where rank <= 30""")
 def q_glossary_relevance(spark, d):
     docs = read(spark, d, "documents")
@@ -406,7 +427,7 @@ def q_purge_segments(spark, d):
 
 @query(f"""with t as (select src, row_number() over (order by src) as seq from {_RUNS} where count >= 4) select arg_max(src, (contains(src, ' '), -seq)) as src, arg_max(case when seq % 2 = 0 then upper(src) end, (case when seq % 2 = 0 then 1 else 0 end, contains(src, ' '), -seq)) as dst from t group by lower(regexp_replace(src, '{WS}+', '', 'g'))""")
 def q_reviewed_dedup(spark, d):
-    terms = mining.runs(read(spark, d, "documents")).where("count >= 4").withColumn("seq", F.row_number().over(Window.orderBy("src")))
+    terms = graph.numbered(mining.runs(read(spark, d, "documents")).where("count >= 4"), [F.col("src")], "seq")
     return memory.dedup_reviewed(terms.select("src", "seq", F.when(F.col("seq") % 2 == 0, F.upper("src")).alias("dst"), F.lit("x").alias("category"))).select("src", "dst")
 
 
@@ -425,11 +446,12 @@ def q_placeholder_multiset(spark, d):
     return quality.token_differences(pairs(spark, d), "[A-Z][a-z]")
 
 
-@query("""with g as (select src from (select unnest(regexp_extract_all(text, '[A-Z][a-z]+')) as src from benchmark) group by src having length(src) >= 5), p as (select * from """ + PAIRS + """)
-select distinct p.id, g.src, upper(g.src) as dst from p, g where contains(p.src, g.src) and not contains(p.dst, upper(g.src)) and list_contains(regexp_extract_all(lower(p.src), '[\\p{L}\\p{N}]+'), lower(g.src))""")
+@query("""with p as (select * from """ + PAIRS + """), g as (select distinct unnest(regexp_extract_all(src, '[A-Z][a-z]+')) as src from p)
+select p.id, g.src, g.src[1:2] as dst from p, g where contains(p.src, g.src) and not contains(p.dst, g.src[1:2])""")
 def q_term_rule(spark, d):
-    terms = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), F.lit(1))).alias("src")).distinct().where("length(src) >= 5").withColumn("dst", F.upper("src"))
-    return quality.term_rule(pairs(spark, d), terms)
+    two = pairs(spark, d)
+    terms = two.select(F.explode(F.regexp_extract_all("src", F.lit("([A-Z][a-z]+)"), F.lit(1))).alias("src")).distinct().withColumn("dst", F.left("src", F.lit(2)))
+    return quality.term_rule(two, terms)
 
 
 def _issues(spark, d):
@@ -501,10 +523,10 @@ def q_restore_plan(spark, d):
     return versions.restore_plan(history(spark, d), 300)
 
 
-@query("with a as (select user_id as key, max(event_id) % 3 as owner from events where event_type <> 'error' group by user_id), b as (select user_id as key, max(event_id) % 3 as owner from events where event_type <> 'click' and event_id < 400 group by user_id) select key, case when b.owner is null then 'remove' when a.owner is null then 'add' when a.owner = b.owner then 'keep' else 'collision' end as action from a full join b using (key)")
+@query("with a as (select user_id as key, max(event_id) % 3 as owner from events where event_type <> 'error' group by user_id), b as (select user_id as key, max(event_id) % 3 as owner from events where event_type <> 'click' and event_id % 10 < 9 group by user_id) select key, case when b.owner is null then 'remove' when a.owner is null then 'add' when a.owner = b.owner then 'keep' else 'collision' end as action from a full join b using (key)")
 def q_reconcile(spark, d):
     rows = lambda cond: read(spark, d, "events").where(cond).groupBy(F.col("user_id").alias("key")).agg((F.max("event_id") % 3).alias("owner"))
-    return versions.reconcile(rows("event_type != 'error'"), rows("event_type != 'click' and event_id < 400"))
+    return versions.reconcile(rows("event_type != 'error'"), rows("event_type != 'click' and event_id % 10 < 9"))
 
 
 @query("select user_id as page, count(*) filter (value > 40) as open, case when bool_or(event_id % 50 = 0) then 'pending' when count(*) filter (value > 40) > 0 then 'review' else 'done' end as status from events group by user_id")
@@ -557,9 +579,10 @@ def q_quantile_picks(spark, d):
     return sequences.quantile_picks(read(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 10).select("doc_id", b("place"))
 
 
-@query("select conv_id, turn, right(coalesce(string_agg(text, chr(10)) over (partition by conv_id order by turn rows between 8 preceding and 1 preceding), ''), 200) as before from conversations")
+@query("""with t as (select a.conv_id, a.turn, b.turn as o, b.text, 200 - coalesce(sum(length(b.text)) over (partition by a.conv_id, a.turn, b.turn < a.turn order by abs(b.turn - a.turn) rows between unbounded preceding and 1 preceding), 0) as room from conversations a left join conversations b on a.conv_id = b.conv_id and a.turn <> b.turn and length(b.text) > 0)
+select conv_id, turn, coalesce(string_agg(right(text, cast(room as bigint)), chr(10) order by o) filter (o < turn and room > 0), '') as before, coalesce(string_agg(left(text, cast(room as bigint)), chr(10) order by o) filter (o > turn and room > 0), '') as after from t group by all""")
 def q_adjacent_context(spark, d):
-    return sequences.adjacent(read(spark, d, "conversations"), "conv_id", "turn", "text", 200).select("conv_id", "turn", "before")
+    return sequences.adjacent(read(spark, d, "conversations"), "conv_id", "turn", "text", 200).select("conv_id", "turn", "before", "after")
 
 
 @query()
@@ -625,10 +648,16 @@ def q_repetition(spark, d):
 # ---- model, logs, statistics, streams ------------------------------------------------------------------------------
 
 
-@query(f"select id, src as translation, cast(1.0 as double) as confidence, 'model' as origin from {PAIRS}")
+@query(f"""with p as (select id, src, 'Terms' || chr(10) || 'a → b' || chr(10) || chr(10) || (case when id % 2 = 0 then 'Context' || chr(10) || dst || chr(10) || chr(10) else '' end) || '|TEXT|' || src as prompt from {PAIRS})
+select id, md5(prompt) as prompt, case when id % 5 = 0 then 'known ' || id when id % 5 = 1 then 'not JSON ' || id else src end as translation, case when id % 5 = 1 then 0.1 else 1.0 end::double as confidence, case when id % 5 = 0 then 'glossary' else 'model' end as origin from p""")
 def q_mock_translation(spark, d):
-    texts = pairs(spark, d).select("id", F.col("src").alias("text"))
-    return model.translate(texts, spark.createDataFrame([], "id bigint, answer string, origin string"))
+    # A fifth is known, a fifth of the replies isn't JSON; all prompts are told apart by their digests.
+    two = pairs(spark, d)
+    prompts = two.select("id", "src", model.prompt(F.col("src"), F.lit("a → b"), F.when(F.col("id") % 2 == 0, F.col("dst"))).alias("prompt"))
+    reply = F.when(F.col("id") % 5 == 1, F.concat(F.lit(" not JSON "), "id")).otherwise(model.mock(F.col("prompt")))
+    known = two.where("id % 5 = 0").select("id", F.concat(F.lit("known "), "id").alias("answer"), F.lit("glossary").alias("origin"))
+    out = model.settle(prompts.select("id", F.md5("prompt").alias("digest"), reply.alias("reply")), known)
+    return out.select("id", F.col("digest").alias("prompt"), "translation", "confidence", "origin")
 
 
 @query("select event_type as tag, count(*) as calls, cast(sum(event_id % 100) as bigint) as prompt_tokens, cast(sum(user_id) as bigint) as completion_tokens from events group by event_type")
@@ -636,10 +665,12 @@ def q_call_usage(spark, d):
     return model.usage(read(spark, d, "events").select(F.col("event_type").alias("tag"), (F.col("event_id") % 100).alias("prompt_tokens"), F.col("user_id").alias("completion_tokens")))
 
 
-@query("select page_id, array_to_string(list_distinct(['x-' || (page_id % 3)] || case when page_id % 2 = 0 then ['cp932', 'euc_jp', 'iso2022_jp'] else ['utf-8', 'cp1252', 'latin1'] end || ['utf-8']), '') <> '' as some from pages")
+@query("""select page_id, case page_id % 4 when 0 then '' when 1 then 'GBK,' when 2 then 'x-own,' else 'UTF-8,' end || case page_id % 8
+  when 0 then 'cp932,euc_jp,iso2022_jp,utf-8' when 1 then 'gb2312,utf-8' when 2 then 'big5,utf-8' when 3 then 'gbk,big5' when 4 then 'euc_kr,cp949,utf-8' when 5 then 'cp1251,koi8_r,utf-8' when 6 then 'cp1252,iso8859-1,utf-8' else 'cp1252,latin1' end as tried from pages""")
 def q_encoding_candidates(spark, d):
-    found = files.candidates(F.concat(F.lit("x-"), F.col("page_id") % 3), F.when(F.col("page_id") % 2 == 0, "ja").otherwise("xx"))
-    return read(spark, d, "pages").select("page_id", (F.array_join(found, "") != "").alias("some"))
+    declared = F.element_at(F.array(F.lit(None).cast("string"), F.lit("GBK"), F.lit("x-own"), F.lit("UTF-8")), (F.col("page_id") % 4 + 1).cast("int"))
+    lang = F.element_at(F.array(*map(F.lit, ["ja", "zh-Hans", "zh-Hant", "zh", "ko", "ru", "en", "xx"])), (F.col("page_id") % 8 + 1).cast("int"))
+    return read(spark, d, "pages").select("page_id", F.array_join(files.candidates(declared, lang), ",").alias("tried"))
 
 
 @query("select s_suppkey as rel, case when c_custkey is null then 'missing' else 'differs' end as action from supplier left join customer on c_custkey = s_suppkey and c_custkey % 3 <> 0 where c_custkey is null or c_nationkey <> s_nationkey")
@@ -661,8 +692,8 @@ def q_average_ranks(spark, d):
 
 @query()
 def q_resampled_medians(spark, d):
-    rows = read(spark, d, "customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')")
-    return stats.resample(rows, "c_mktsegment", "c_acctbal", 200).select(F.round("p", 6).alias("p"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    rows = read(spark, d, "customer").withColumn("one", F.col("c_mktsegment") == "BUILDING")
+    return stats.resample(rows, "one", "c_acctbal", 200).select(F.round("p", 6).alias("p"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 @query("select event_type, median(value) as median, count(*) as n from events group by event_type")

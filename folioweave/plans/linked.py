@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 from ..functions import html
 from ..functions import text as T
 from ..operators import graph, linkage
-from .catalogue import HOST, LINKS, PAIRS, SQL_LINES, WS, b, lines, pairs, query, read
+from .catalogue import HOST, LINKS, PAIRS, PATH, SQL_LINES, WS, b, lines, pairs, query, read
 
 
-@query(f"""with l as (select * from {LINKS} where href in (select href from {LINKS} group by href having count(*) <= 64)),
-c as (select x.page_id, y.page_id as before, count(*) as common from l x join l y on x.href = y.href and y.page_id < x.page_id group by all)
-select page_id, before, common from (select *, row_number() over (partition by page_id order by common desc, before) as n from c) where n <= 3""")
+_TARGET = "(length(href) * 131 + ascii(substr(href, 2)) * 17) % (select count(*) from pages)"
+
+
+@query(f"""with l as (select distinct page_id as src, {_TARGET} as page from {LINKS}), p as (select page_id as page, string_split(ltrim({PATH}, '/'), '/') as path from pages),
+s as (select l.page, l.src as before, len(a.path) + len(p.path) - 2 * coalesce(list_position(list_transform(range(1, least(len(a.path), len(p.path)) + 1), lambda i: a.path[i] <> p.path[i]), true) - 1, least(len(a.path), len(p.path))) as hops, abs(l.src - l.page) as apart from l join p on p.page = l.page join p a on a.page = l.src where a.page % 10 <> 3),
+w as (select page, before, 3.0 * least(1, greatest(0, (8 - hops) / 6.0)) + least(1, greatest(0, (128 - apart) / 127.0)) as score from s)
+select page, before, round(score, 6) as score from (select *, row_number() over (partition by page order by score desc, before) as n from w) where n <= 3""")
 def q_link_predecessors(spark, d):
-    links = graph.edges(read(spark, d, "pages"))
-    return linkage.shared_target_predecessors(links, links.select("page_id", F.col("page_id").alias("rank")).distinct())
+    # Links of the tables lead outside; each target stands for the page with a number made from it.
+    pages = read(spark, d, "pages").select("page_id", F.ltrim(html.path(F.col("url")), F.lit("/")).alias("path"), "html")
+    target = (F.length("href") * 131 + F.ascii(F.substr("href", F.lit(2))) * 17) % F.lit(pages.count())
+    links = graph.edges(pages).select(F.col("page_id").alias("src"), target.alias("dst"))
+    return linkage.link_predecessors(links, pages.select(F.col("page_id").alias("page"), "path", F.col("page_id").alias("rank"), (F.col("page_id") % 10 == 3).alias("is_index")))
 
 
 @query(f"""with s as (select page_id as id, left(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1), 20) as summary from pages), o as (select page_id, {HOST} as host from pages),
@@ -89,16 +96,15 @@ def q_costs(spark, d):
     return linkage.costs(rows).select("c_custkey", "flag")
 
 
-@query("with f as (select distinct case event_id % 3 when 0 then 'whole' when 1 then 'slide' else 'page' end as condition, event_id * 13 % 97 as cluster from events where event_id % 4 > 0 and event_id < 400), t as (select count(distinct cluster) as t from f) select condition, count(*) as clusters, round(count(*) / max(t), 6) as share, count(*) filter (cluster not in (select cluster from f where condition = 'whole')) as new from f, t group by condition")
+@query("with f as (select distinct case event_id % 3 when 0 then 'whole' when 1 then 'slide' else 'page' end as condition, event_id * 13 % 97 as cluster from events where event_id % 4 > 0 ), t as (select count(distinct cluster) as t from f) select condition, count(*) as clusters, round(count(*) / max(t), 6) as share, count(*) filter (cluster not in (select cluster from f where condition = 'whole')) as new from f, t group by condition")
 def q_coverage(spark, d):
     kind = F.when(F.col("event_id") % 3 == 0, "whole").when(F.col("event_id") % 3 == 1, "slide").otherwise("page")
-    return linkage.coverage(read(spark, d, "events").where("event_id % 4 > 0 and event_id < 400").select(kind.alias("condition"), (F.col("event_id") * 13 % 97).alias("cluster")))
+    return linkage.coverage(read(spark, d, "events").where("event_id % 4 > 0").select(kind.alias("condition"), (F.col("event_id") * 13 % 97).alias("cluster")))
 
 
-@query("""with recursive e as (select event_id as a, event_id + 1 + user_id % 3 as b from events where event_type in ('click', 'view') and event_id < 600), s as (select a, b from e union select b, a from e),
-w(node, c) as (select distinct a, a from s union select s.b, w.c from w join s on s.a = w.node) select node, min(c) as cluster from w group by node""")
+@query()
 def q_clusters(spark, d):
-    rows = read(spark, d, "events").where("event_type in ('click', 'view') and event_id < 600")
+    rows = read(spark, d, "events").where("event_type in ('click', 'view')")
     return linkage.clusters(rows.select(F.col("event_id").alias("a"), (F.col("event_id") + 1 + F.col("user_id") % 3).alias("b")))
 
 
@@ -108,7 +114,7 @@ def q_composite_ranks(spark, d):
 
     region = read(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.row_number().over(Window.orderBy("r_name")).alias("rank"))
     nation = read(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name")).alias("rank"))
-    return linkage.composite_ranks(region.unionByName(nation))
+    return linkage.composite_ranks(region.unionByName(nation)).select("node", "path_rank")
 
 
 @query()

@@ -34,6 +34,12 @@ def translate(texts: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("id", out.alias("out"), F.coalesce("origin", F.lit("model")).alias("origin")).select("id", "out.*", "origin")
 
 
+def settle(replies: DataFrame, known: DataFrame) -> DataFrame:
+    """replies (id, reply, ...) with translation, confidence, origin: what the dictionaries (id, answer, origin) know, else the reply."""
+    both = replies.join(known, "id", "left").withColumn("said", answer(F.col("reply")))
+    return both.withColumns({"translation": F.coalesce("answer", "said.translation"), "confidence": F.when(F.col("answer").isNotNull(), F.lit(1.0)).otherwise(F.col("said.confidence")), "origin": F.coalesce("origin", F.lit("model"))}).drop("said", "reply", "answer")
+
+
 def wall_cap(tag: Column, caps: dict[str, int], default: int) -> Column:
     """The time limit of a call by its tag's first part."""
     if not caps:

@@ -12,12 +12,12 @@ PAGE = r"(?i)\.(html?|htm)$"
 # Encodings to try for a language, in order.
 ENCODINGS = {
     "ja": ["cp932", "euc_jp", "iso2022_jp"],
-    "zh-Hans": ["gb18030"],
-    "zh-Hant": ["big5", "big5hkscs"],
-    "zh": ["gb18030", "big5"],
-    "ko": ["cp949", "euc_kr"],
+    "zh-Hans": ["gbk", "gb2312"],
+    "zh-Hant": ["big5"],
+    "zh": ["gbk", "big5"],
+    "ko": ["euc_kr", "cp949"],
     "ru": ["cp1251", "koi8_r"],
-    "en": ["cp1252", "latin1"],
+    "en": ["cp1252", "iso8859-1"],
 }
 DEFAULT = ["utf-8", "cp1252", "latin1"]
 
@@ -32,7 +32,9 @@ def candidates(declared: Column, lang: Column) -> Column:
     """Encodings to try in order: declared, the language's, UTF-8; each once whatever its case."""
     table = F.create_map(*[x for k, v in ENCODINGS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     own = F.coalesce(F.try_element_at(table, lang), F.array(*map(F.lit, DEFAULT)))
-    return F.array_distinct(F.transform(F.array_compact(F.concat(F.array(declared), own, F.array(F.lit("utf-8")))), F.lower))
+    every = F.array_compact(F.concat(F.array(declared), own, F.array(F.lit("utf-8"))))
+    lower = F.transform(every, F.lower)
+    return F.filter(every, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
 
 
 def decode(content: Column, encodings: Column, strict: bool = True) -> Column:
