@@ -13,6 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANK = re.compile(r"\s+")
+_TOKEN = re.compile(r'"(?:\\.|[^"\\])*"|[\[\]]', re.S)
+# Keys of an answer that follow an array.
+_KEY_NEXT = re.compile(r'\s*(,)\s*"(?:needs_human|confidence|glossary_conflicts|notes|translation)"')
 
 
 def _vectorised(function, kind: str):
@@ -51,7 +54,7 @@ def longest_common(a: str, b: str) -> int:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size
 
 
-def period(text: str, window: int = 4096, span: int = 2048) -> int:
+def period(text: str, window: int = 16384, span: int = 2048) -> int:
     """The smallest period of the last ``window`` characters (white space folded) that repeats at least twice over ``span``
     characters and holds a letter or digit; 0 for none or a shorter text."""
     tail = _BLANK.sub(" ", text[-window:])
@@ -137,15 +140,23 @@ def repair_strings(text: str) -> str:
 
 
 def close_arrays(text: str) -> str:
-    missing = text.count("[") - text.count("]")
-    return text if missing <= 0 else text.rstrip().removesuffix("}") + "]" * missing + "}"
+    """A ] before the comma where, inside an array that nothing closes, a string is followed by one of the object's own keys."""
+    if text.count("[") <= text.count("]"):
+        return text
+    depth = 0
+    for token in _TOKEN.finditer(text):
+        if token[0] in "[]":
+            depth += 1 if token[0] == "[" else -1
+        elif depth > 0 and (key := _KEY_NEXT.match(text, token.end())):
+            return f"{text[: key.start(1)]}]{text[key.start(1) :]}"
+    return text
 
 
 def tolerant_json(text: str, required: str = "translation") -> str:
     """The object in a model's answer as JSON: fences off, then as it is, balanced, repaired. Repairs count only if the
     object has the required key and are noted in it; null text or no object: empty."""
     text = re.sub(r"^\s*```[a-z]*\s*|\s*```\s*$", "", text)
-    for attempt, methods in ((lambda: text, []), (lambda: first_object(text), []), (lambda: repair_strings(text), ["strings"]), (lambda: first_object(repair_strings(text)), ["strings"]), (lambda: close_arrays(repair_strings(text)), ["strings", "arrays"])):
+    for attempt, methods in ((lambda: text, []), (lambda: first_object(text), []), (lambda: repair_strings(text), ["strings"]), (lambda: first_object(repair_strings(text)), ["strings"]), (lambda: close_arrays(repair_strings(text)), ["strings", "arrays"]), (lambda: first_object(close_arrays(repair_strings(text))), ["strings", "arrays"])):
         try:
             found = json.loads(attempt())
         except ValueError:

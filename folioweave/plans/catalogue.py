@@ -35,13 +35,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import linked  # noqa: F401  adds its queries
+    from . import flow, linked  # noqa: F401  they add their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import linked  # noqa: F401
+    from . import flow, linked  # noqa: F401
 
     return dict(_ORACLE)
 
@@ -640,9 +640,11 @@ def q_sequence_ratio(spark, d):
     return both.select("id", texts_udf.ratio_udf(F.col("a"), F.col("b")).alias("ratio"), texts_udf.common_udf(F.col("a"), F.col("b")).alias("common"), texts_udf.changes_udf(F.col("a"), F.col("b")).alias("changes"))
 
 
-@query()
+@query("select doc_id, length('turn ' || doc_id || ' and ') as period from documents where doc_id % 20 = 0")
 def q_repetition(spark, d):
-    return read(spark, d, "documents").select("doc_id", texts_udf.period_udf(F.col("text")).alias("period")).where("period > 0")
+    # Every twentieth document goes round in a loop at its end; no other one repeats itself.
+    text = F.when(F.col("doc_id") % 20 == 0, F.concat("text", F.repeat(F.concat(F.lit("turn "), "doc_id", F.lit(" and ")), 2500))).otherwise(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", texts_udf.period_udf(text).cast("bigint").alias("period")).where("period > 0")
 
 
 # ---- model, logs, statistics, streams ------------------------------------------------------------------------------

@@ -98,3 +98,104 @@ def write_pages(pages: DataFrame, path: str) -> None:
 
 def append_log(calls: DataFrame, path: str) -> None:
     calls.write.mode("append").parquet(path)
+
+
+def decode_again(content: Column, known: Column, encodings: Column, strict: bool = True) -> Column:
+    """encoding and text by the encoding known from an earlier scan if it still decodes, else by the candidates."""
+    return decode(content, F.array_distinct(F.array_compact(F.concat(F.array(known), encodings))), strict)
+
+
+def write_json_lines(rows: DataFrame, path: str, append: bool = False) -> None:
+    rows.write.mode("append" if append else "overwrite").json(path)
+
+
+def _system(uri: str):
+    import pyarrow.fs
+
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
+def write_page_files(pages: DataFrame, root: str) -> DataFrame:
+    """rel, size of pages (rel, html) written below root as UTF-8 files, each whole when it has its name."""
+
+    def run(parts):
+        system, at = _system(root)
+        for part in parts:
+            sizes = []
+            for rel, html in zip(part.rel, part.html, strict=True):
+                data = (html or "").encode()
+                system.create_dir(f"{at}/{rel}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{at}/{rel}.part", compression=None) as out:
+                    out.write(data)
+                system.move(f"{at}/{rel}.part", f"{at}/{rel}")
+                sizes.append(len(data))
+            yield pd.DataFrame({"rel": part.rel, "size": sizes})
+
+    return pages.select("rel", "html").mapInPandas(run, "rel string, size bigint")
+
+
+def copy_files(plan: DataFrame, source: str, target: str) -> DataFrame:
+    """rel, copied of a mirror plan's files."""
+
+    def run(parts):
+        import shutil
+
+        (a, x), (b, y) = _system(source), _system(target)
+        for part in parts:
+            for rel in part.rel:
+                b.create_dir(f"{y}/{rel}".rpartition("/")[0], recursive=True)
+                with a.open_input_stream(f"{x}/{rel}", compression=None) as src, b.open_output_stream(f"{y}/{rel}", compression=None) as out:
+                    shutil.copyfileobj(src, out)
+            yield pd.DataFrame({"rel": part.rel, "copied": True})
+
+    return plan.select("rel").mapInPandas(run, "rel string, copied boolean")
+
+
+def backup(spark: SparkSession, path: str, stamp: str, suffix: str = "") -> str:
+    """A copy of what stands at path beside it, as path.stamp[.suffix].bak; empty text if nothing does."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    name = ".".join(x for x in (path.rstrip("/"), stamp, suffix, "bak") if x)
+    a, b = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(name)
+    system = a.getFileSystem(conf)
+    if not system.exists(a):
+        return ""
+    jvm.org.apache.hadoop.fs.FileUtil.copy(system, a, system, b, False, conf)
+    return name
+
+
+def json_strings(text: Column) -> Column:
+    """Every string in a JSON value, keys left out, in order; the text itself where it isn't JSON."""
+    import json
+
+    def walk(value) -> list[str]:
+        if isinstance(value, str):
+            return [value]
+        inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+        return [s for x in inner for s in walk(x)]
+
+    @F.pandas_udf("array<string>")
+    def run(raw: pd.Series) -> pd.Series:
+        out = []
+        for x in raw:
+            try:
+                out.append(walk(json.loads(x)))
+            except (TypeError, ValueError, RecursionError):
+                out.append([] if x is None else [x])
+        return pd.Series(out, dtype=object)
+
+    return run(text)
+
+
+#: Preferences that travel between projects.
+PREFERENCES = ("glossary", "style_refs", "style")
+
+
+def preferences(settings: DataFrame) -> DataFrame:
+    """Of settings (key, value) those that travel."""
+    return settings.where(F.col("key").isin(*PREFERENCES))
+
+
+def style_refs(rows: DataFrame) -> DataFrame:
+    """Pairs with both sides."""
+    return rows.where("trim(coalesce(src, '')) != '' and trim(coalesce(dst, '')) != ''")

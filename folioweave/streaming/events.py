@@ -38,7 +38,7 @@ def inbox(spark: SparkSession, folder: str, clean: str = "off", archive: str | N
 
 def latest_state(stream: DataFrame, key: str, order: str, path: str, checkpoint: str):
     """Keep the last row of each key in ``path``: every micro-batch is folded in under its own number, so a replay writes
-    the same state again. ``read_state`` gives the newest."""
+    the same state again; states before the last two are deleted. ``read_state`` gives the newest."""
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -47,10 +47,20 @@ def latest_state(stream: DataFrame, key: str, order: str, path: str, checkpoint:
             every = spark.read.parquet(f"{path}/batch={number - 1}").unionByName(batch)
         last = every.groupBy(key).agg(F.max_by(F.struct(*every.columns), order).alias("row")).select("row.*")
         last.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number > 1:  # the one before stays: a replay of this batch reads it
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state in ``path``."""
+    every = spark.read.parquet(path)
+    newest = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == newest).drop("batch")
+
+
 def repetition_guard(stream: DataFrame, window: int = 256, every: int = 64) -> DataFrame:
     """call, seen, period for each batch of (call, seq, chunk): the state is the text's tail and its length, so memory is
     bounded for each call; a positive period says that the tail repeats itself."""

@@ -56,14 +56,21 @@ def test_resample_reads_all_values(spark):
     assert np.allclose([got.low, got.high], np.percentile(boot, [2.5, 97.5]))
 
 
-def test_targets_of_many_pages_count(spark):
-    links = spark.createDataFrame([(i, h) for i in range(70) for h in ("hot", f"own{i // 2}")], "page_id long, href string")
-    got = linkage.shared_target_predecessors(links, links.selectExpr("page_id", "page_id as rank").distinct()).collect()
+def test_link_predecessors_of_many_pages(spark):
+    pages = [(i, f"a/{i % 7}/p{i}.html", i * 31 % 70 if i % 11 else None, i % 13 == 0) for i in range(70)]
+    links = [(i, j) for i in range(70) for j in (0, (i * 5 + 1) % 70)]
+    got = linkage.link_predecessors(spark.createDataFrame(links, "src int, dst int"), spark.createDataFrame(pages, "page int, path string, rank int, is_index boolean")).collect()
+    near = lambda v, low, high: max(0.0, min(1.0, (high - v) / (high - low)))
     want = []
-    for i in range(70):
-        before = [i - 1] * (i % 2) + list(range(i))
-        want += [(i, j, 1 + (j // 2 == i // 2)) for j in list(dict.fromkeys(before))[:3]]
-    assert sorted(tuple(r)[:3] for r in got) == sorted(want)
+    for page, path, rank, _ in pages:
+        scored = []
+        for src in {s for s, d in links if d == page and not pages[s][3]}:
+            a, c = pages[src][1].split("/"), path.split("/")
+            same = next((k for k, (x, y) in enumerate(zip(a, c, strict=False)) if x != y), len(a))
+            apart = 128 if rank is None or pages[src][2] is None else abs(rank - pages[src][2])
+            scored.append((-round(3 * near(len(a) + len(c) - 2 * same, 2, 8) + near(apart, 1, 128), 6), pages[src][2] is None, pages[src][2], src))
+        want += [(page, src, -s) for s, _, _, src in sorted(scored)[:3]]
+    assert sorted((r.page, r.before, r.score) for r in got) == sorted(want)
 
 
 def test_sequence_ratio_of_whole_texts(spark, tmp_path):
