@@ -228,12 +228,12 @@ def q_qa_decisions(spark, d):
 
 def _issues(spark, d):
     said = read(spark, d, "conversations").select(F.col("conv_id").alias("page"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.array("turn", F.col("turn") + 1).alias("segments"), F.col("text").alias("reason"), F.lit("").alias("suggestion"), F.col("role").alias("dst_quote"))
-    return said.withColumn("dst_quote", F.lit("")), said.select("page", (F.col("id") + 1_000_000).alias("id"), "segments", F.when(F.col("id") % 2 == 0, F.upper("reason")).otherwise("").alias("reason"), "suggestion", F.lit("").alias("dst_quote"))
+    return said.withColumn("dst_quote", F.lit("")), said.select("page", (F.col("id") + 1_000_000).alias("id"), "segments", F.when(F.col("id") % 2 == 0, F.concat(F.lit("  "), "reason", F.lit("\n"))).otherwise("").alias("reason"), "suggestion", F.lit("").alias("dst_quote"))
 
 
 @query(f"select conv_id * 100 + turn as id, conv_id * 100 + turn + 1000000 as best, 1.0::double as score from conversations where (conv_id * 100 + turn) % 2 = 0 and regexp_replace(text, '{WS}+', '', 'g') <> ''")
 def q_recurrences(spark, d):
-    # Old issues repeat the even ones in capitals; those match themselves best. Odd ones may be like a neighbour, or nothing.
+    # Old issues repeat the even ones with other white space; those match themselves best. Odd ones may be like a neighbour, or nothing.
     new, old = _issues(spark, d)
     return review.recurrences(new, old).where("id % 2 = 0 and best is not null").select("id", "best", "score")
 
