@@ -30,7 +30,7 @@ from . import common
 
 #: Entries of each of the two generations of a worker's cache of chunks (one blank-separated piece of text each), the longest
 #: chunk that is kept, seams known, and the bytes of a pre-token and characters of a text that are taken at once.
-CACHE, LONGEST_CACHED, SEAMS, AT_ONCE, WINDOW = 150_000, 64, 150_000, 4096, 1 << 16
+CACHE, LONGEST_CACHED, SEAMS, AT_ONCE, WINDOW = 200_000, 64, 400_000, 4096, 1 << 16
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _DOUBLE_BLANK = re.compile(r"\s\s|[\x00\x1c-\x1f]")
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
@@ -128,6 +128,26 @@ class Vocabulary:
                 limit, b = rank[b] + 1, halves[b][0]
 
 
+def advance(v: Vocabulary, matches, tokens: list[int], starts: list[int], read: int) -> None:
+    """Fill in the last token, and where it starts, of each prefix that ends in newly read bytes. matches are the entries that
+    end there, longest first, by their place in the pre-token; the lists begin ``read`` bytes into it."""
+    seams, seam = v.seams, v.seam
+    first = 1 - read
+    for end, (size, token) in matches:
+        end += first
+        if tokens[end] >= 0:
+            continue
+        start = end - size
+        if start + read:
+            before = tokens[start]
+            known = seams.get(before << 32 | token)
+            if known is None:
+                known = seam(before, token)
+            if not known:
+                continue
+        tokens[end], starts[end] = token, start
+
+
 class Encoder:
     """The transducer for one pre-token: feed bytes, take stable tokens, then finish."""
 
@@ -145,21 +165,7 @@ class Encoder:
             self.matches.set(text, False)  # the automaton goes on where it stood
         tokens += [-1] * len(data)
         starts += [0] * len(data)
-        seams, seam = v.seams, v.seam
-        first = 1 - done  # places count from the pre-token's start
-        for end, (size, token) in self.matches:
-            end += first
-            if tokens[end] >= 0:
-                continue
-            start = end - size
-            if start + done:
-                before = tokens[start]
-                known = seams.get(before << 32 | token)
-                if known is None:
-                    known = seam(before, token)
-                if not known:
-                    continue
-            tokens[end], starts[end] = token, start
+        advance(v, self.matches, tokens, starts, done)
         self.n += len(data)
         return self.emit(self.n - v.lookahead - done) if self.n - done > v.lookahead + AT_ONCE else []
 
@@ -187,11 +193,15 @@ def encode_word(v: Vocabulary, word: bytes) -> list[int]:
     """The tokens of one pre-token."""
     if (token := v.candidates.get(word)) is not None:
         return [token]
+    n, out = len(word), []
+    if n <= AT_ONCE:  # nothing need be emitted before the end
+        tokens, starts = [-1] * (n + 1), [0] * (n + 1)
+        advance(v, v.automaton.iter(word.decode("latin-1")), tokens, starts, 0)
+        while n:
+            out.append(tokens[n])
+            n = starts[n]
+        return out[::-1]
     encoder = Encoder(v)
-    if len(word) <= AT_ONCE:
-        encoder.feed(word)
-        return encoder.finish()
-    out = []
     for a in range(0, len(word), AT_ONCE):
         out += encoder.feed(word[a : a + AT_ONCE])
     return out + encoder.finish()
