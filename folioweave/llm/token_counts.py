@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents sampled for tier one, the pre-tokens kept from them, and the entries and characters of a worker's cache.
-SAMPLE_DOCS, FREQUENT, CACHE, CACHE_CHARS = 2000, 60_000, 800_000, 12 << 20
+#: Documents sampled for tier one and characters of each, the pre-tokens kept from them, and the entries and characters of a
+#: worker's cache.
+SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT, CACHE, CACHE_CHARS = 2000, 20_000, 60_000, 800_000, 12 << 20
 PRETOKEN = re.compile("\n|▁*[^▁\n]+|▁+")
 
 
@@ -127,7 +128,8 @@ def bounded_parts(text: str, most: int = 1 << 20) -> Iterator[str]:
 
 def frequent_lengths(docs: DataFrame, text: str, path: str, sample_docs: int = SAMPLE_DOCS, keep: int = FREQUENT) -> Lengths:
     """Tier one from at most sample_docs rows: it only decides what is fast, never what is counted."""
-    counts = Counter(n for r in docs.select(text).where(F.col(text).isNotNull()).limit(sample_docs).toLocalIterator() for n in pretokens(r[0]))
+    rows = docs.where(F.col(text).isNotNull()).select(F.substring(text, 1, SAMPLE_CHARS)).limit(sample_docs).collect()
+    counts = Counter(n for r in rows for n in pretokens(r[0]))
     names = [n for n, _ in counts.most_common(keep)]
     if not names:
         return Lengths(np.zeros(0, np.uint64), np.zeros(0, np.int64))
