@@ -29,7 +29,7 @@ from . import common
 #: Labelled rows sampled for each language, rounds of fitting, pseudo-count, words in a worker's cache.
 SAMPLE_ROWS, ROUNDS, PRIOR, CACHE = 600, 2, 0.1, 150_000
 #: Words in one forward pass, and the length above which a word is scored alone, isn't cached, and teaches in spans that long.
-AT_ONCE, LONG = 20_000, 256
+AT_ONCE, LONG = 20_000, 128
 #: Words of a language are weighed by this in fitting for each of their characters, which leaves shares as they are.
 LIFT = 3.0
 #: Log-probability of a character that no piece holds; equal in all languages.
