@@ -127,8 +127,10 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, each: int = 8 << 20) -> int:
-    """Shuffle partitions that follow the input: about ``each`` estimated bytes a partition, the session's count at least."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Shuffle partitions that follow the input: about ``each`` estimated bytes a partition, four a core or the session's count (the
+    smaller) at least, so small inputs aren't written as hundreds of files."""
+    spark = df.sparkSession
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return max(least, min(200_000, -(-input_bytes(df) // each)))
 
 

@@ -450,9 +450,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = common.partitions_for(docs)
     buckets = 4 * parts
     stored = common.written(blocks(docs), "blocks")
-    told = common.written(owners(anchors(stored, buckets, span, gram), 2 * parts, hot), "owners")
+    told = common.written(owners(anchors(stored, buckets, span, gram), parts, hot), "owners")
     common.release(spark)
-    masks = common.written(window_masks(contested_runs(stored, told, buckets, parts, span, gram), 2 * parts, span, gram), "masks")
+    masks = common.written(window_masks(contested_runs(stored, told, buckets, parts, span, gram), parts, span, gram), "masks")
     common.release(spark)
     facts = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *([T.StructField("text", T.StringType())] if with_text else []), *[docs.schema[c] for c in others], *facts])
