@@ -1,11 +1,13 @@
 """Operators whose work once grew with the square of a table, against brute force."""
 
+import difflib
 import random
+import time
 from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
 
-from folioweave.functions import grams
+from folioweave.functions import grams, matching, references
 from folioweave.operators import similarity
 
 
@@ -50,3 +52,26 @@ def test_dice_pairs_in_one_pass(spark, monkeypatch):
     assert sorted((r.l_id, -r.score, r.r_id) for r in got.collect()) == best
     assert similarity.dice_pairs(a, b.where("id is null"), 0.99).select("l_id").distinct().orderBy("l_id").first().l_id == 0
     assert similarity.dice_pairs(a.where(F.lit(False)), b, 0.6).count() == 0
+
+
+def test_matching_is_difflibs():
+    pick = random.Random(7)
+    for letters, size in (("ab", 30), ("abcdefgh", 60), ("日本語abc", 40), ("etaoin shrdlucmfwypvbgkjqxz" + "etaoins " * 9, 420)):
+        for _ in range(60):
+            a, b = ("".join(pick.choices(letters, k=pick.randint(0, size))) for _ in range(2))
+            b += "".join(a[at : at + 9] for at in range(0, len(a), 17)) if pick.random() < 0.5 else ""
+            plain = difflib.SequenceMatcher(None, a, b, autojunk=False)
+            assert matching.Index(b).longest(a) == tuple(plain.find_longest_match()), (a, b)
+            for least in (1, 3, 4, 6):
+                assert matching.Index(b).blocks(a, least) == [(m.b, m.size) for m in plain.get_matching_blocks() if m.size >= least]
+            for x, y in ((a, b), (b, a), (a * 9, b * 9)):
+                assert matching.ratio(x, y) == difflib.SequenceMatcher(None, x, y).ratio(), (x, y)
+
+
+def test_tail_of_a_long_page():
+    pick = random.Random(1)
+    lines = ["".join(pick.choices("abcdefghijklmnop", k=60)) for _ in range(1500)]
+    said = [line[:30] + "#" + line[31:] for line in lines[:1200]]  # none stands in the page as it is
+    began = time.process_time()
+    assert references.uncovered_tail("\n".join(lines), said) == "\n".join(lines[1200:])
+    assert time.process_time() - began < 10
