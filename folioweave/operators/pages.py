@@ -131,24 +131,28 @@ def checked(segments: DataFrame, refs: DataFrame, corrections: DataFrame | None
     weight = F.when(F.col("kind").isin("head_title", "attr_title", "attr_alt"), 0.0).otherwise(1.0)
     for kind, value in (weights or {}).items():
         weight = F.when(F.col("kind") == kind, float(value)).otherwise(weight)
-    rows = segments.where((F.col("kind") == "text") & (weight > 0)).join(refs.select("page", F.col("text").alias("reference")), "page")
+    rows = segments.where((F.col("kind") == "text") & (weight > 0))
     if corrections is not None:
         grouped = corrections.groupBy("page", "id").agg(F.sort_array(F.collect_list(F.struct("ref_err", "corrected", "status"))).alias("corrections"))
         rows = rows.join(grouped, ["page", "id"], "left")
     else:
         rows = rows.withColumn("corrections", F.expr("cast(null as array<struct<ref_err: string, corrected: string, status: string>>)"))
     kinds = dict(rows.dtypes)
+    # A page's segments are one row, so its reference is moved and prepared once, not for each of them.
+    grouped = rows.groupBy("page").agg(F.collect_list(F.struct("id", "text", "translation", "corrections")).alias("segments"))
+    both = refs.select("page", F.col("text").alias("reference")).join(grouped, "page")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for r in part.itertuples(index=False):
-                given = [] if r.corrections is None else list(r.corrections)
-                if found := references.check(r.reference, r.translation, r.text, given, threshold, least):
-                    out.append((r.page, r.id, *found.values()))
+                for s in r.segments:
+                    given = [] if s["corrections"] is None else list(s["corrections"])
+                    if found := references.check(r.reference, s["translation"], s["text"], given, threshold, least):
+                        out.append((r.page, s["id"], *found.values()))
             yield pd.DataFrame(out, columns=["page", "id", "score", "fragment", "diff", "corrections_applied", "covered"])
 
-    return rows.select("page", "id", "text", "translation", "reference", "corrections").mapInPandas(run, f"page {kinds['page']}, id {kinds['id']}, score double, fragment string, diff string, corrections_applied int, covered boolean")
+    return both.select("page", "reference", "segments").mapInPandas(run, f"page {kinds['page']}, id {kinds['id']}, score double, fragment string, diff string, corrections_applied int, covered boolean")
 
 
 def tails(segments: DataFrame, refs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import functions as F
 
 from folioweave.functions import grams, matching, references
-from folioweave.operators import similarity
+from folioweave.operators import pages, similarity
 
 
 def gram_set(text, n=2):
@@ -75,3 +75,14 @@ def test_tail_of_a_long_page():
     began = time.process_time()
     assert references.uncovered_tail("\n".join(lines), said) == "\n".join(lines[1200:])
     assert time.process_time() - began < 10
+
+
+def test_checks_hold_a_reference_once(spark):
+    text = "The first line of a page. " * 30
+    rows = spark.createDataFrame([(1, i, "text", f"{i} {text[:300]}", f"{i} {text[:300]}" if i % 2 else f"{text[100:150]} {i} wrong {text[:90]}") for i in range(8)], "page int, id int, kind string, text string, translation string")
+    refs = spark.createDataFrame([(1, "\n".join(f"{i} {text[:300]}" for i in range(8))), (2, text)], "page int, text string")
+    found = pages.checked(rows, refs)
+    want = {r.id: references.check(refs.first().text, r.translation, r.text) for r in rows.collect()}
+    assert {r.id: (r.score, r.fragment, r.diff, r.covered) for r in found.collect()} == {i: (w["score"], w["fragment"], w["diff"], w["covered"]) for i, w in want.items() if w}
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.index("Join") < joined.index("collect_list")  # the reference meets a page's segments as one row
